@@ -1,0 +1,191 @@
+"""The operators over logs against plain definitions: hot keys, ties, repeats, nulls, empty tables."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests import brute
+from tidelog.operators import asof, changefeed, eager, history, orphans, timeline, widen
+from tidelog.operators.facts import facts, states
+
+
+def frames(spark, rows):
+    log = spark.createDataFrame(rows, brute.LOG).withColumn("kind", F.lit("extra")).withColumn("block", F.lit("clash"))
+    return log, spark.createDataFrame(brute.attr_rows(), brute.ATTRS).withColumn("v", F.lit(1))
+
+
+@pytest.fixture(params=[1, 2, 3])
+def log(request, spark):
+    rows = brute.random_log(request.param)
+    return rows, *frames(spark, rows)
+
+
+def test_states(log):
+    rows, datoms, attrs = log
+    f, cards = brute.facts_of(rows)
+    want = {(*k, tx) for k, tx in brute.held_at(f, cards, 10**9).items()}
+    for hot in (None, []):
+        got = states(facts(datoms, attrs), hot).where("holds").select("e", "a", "v", "la").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("share, blocks, least", [(1 / 400, 64, 50_000), (0.2, 5, 50_000), (0.2, 7, 3), (1.0, 4, 1), (1.0, 4, 10)])
+def test_history(log, share, blocks, least, monkeypatch, spark):
+    rows, datoms, attrs = log
+    real = timeline.regrouped
+    monkeypatch.setattr(history.timeline, "regrouped", lambda b, k: real(b, k, least))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(least, 10_000)))
+    try:
+        f, cards = brute.facts_of(rows)
+        one = facts(datoms, attrs).where("card = 0")
+        got = sorted(map(tuple, history.history(one, share, blocks).collect()))
+        assert got == brute.periods(f, cards)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bit_runs():
+    import numpy as np
+
+    r = random.Random(5)
+    for _ in range(50):
+        spans = [(r.randint(0, 3), *sorted((r.randint(0, 300), r.randint(0, 300)))) for _ in range(r.randint(0, 30))]
+        want = set()
+        for p in range(4):
+            bits = {i for q, b, e in spans if q == p for i in range(b, e)}
+            want |= {(p, i, next(j for j in range(i, 302) if j not in bits)) for i in bits if i - 1 not in bits}
+        got = history.bit_runs(*(np.array([s[i] for s in spans], np.int64) for i in range(3)))
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(want)
+
+
+@pytest.mark.parametrize("share, blocks, least", [(1 / 400, 64, 50_000), (0.2, 5, 50_000), (0.2, 5, 4), (1.0, 4, 1)])
+def test_as_of(log, share, blocks, least, monkeypatch, spark):
+    rows, datoms, attrs = log
+    real = timeline.regrouped
+    monkeypatch.setattr(asof.timeline, "regrouped", lambda b, k: real(b, k, least))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(least, 10_000)))
+    r = random.Random(9)
+    f, cards = brute.facts_of(rows)
+    one = [a for a, c in cards.items() if c == 0]
+    reads = []
+    for i in range(150):
+        hot = r.random() < 0.4
+        reads.append((i, 100 if hot else r.randint(99, 109), 8 if hot else r.choice(one), r.choice([None, 50, 50, r.randint(0, 100)])))
+    want = set()
+    for i, e, a, t in reads:
+        got = [tx for (x, y, _), tx in brute.held_at(f, cards, t).items() if (x, y) == (e, a)] if t is not None else []
+        want |= {(i, max(got))} if got else set()
+    reads += r.sample(reads, 30) + [(None, 100, 8, 50), (900, None, 8, 50), (901, 100, None, 50)]
+    asks = spark.createDataFrame(reads, "id long, e long, a long, at long").withColumn("tx", F.lit("clash"))
+    try:
+        got = asof.as_of(facts(datoms, attrs).where("card = 0"), asks, share, blocks, 3).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("edges", [[], [50], [30, 40, 50, 60, 70], None])
+def test_change_feed(log, edges):
+    rows, datoms, attrs = log
+    f, cards = brute.facts_of(rows)
+    want = {(*k, cards[k[1]], tx) for k, tx in brute.held_at(f, cards, 10**9).items()}
+    got = changefeed.resolve(facts(datoms, attrs), edges=edges)
+    assert sorted(map(tuple, got.select("e", "a", "v", "card", "tx").collect())) == sorted(want)
+
+
+def test_change_feed_on_a_base(log, spark):
+    rows, datoms, attrs = log
+    f, cards = brute.facts_of(rows)
+    base = [(*k, cards[k[1]], tx) for k, tx in brute.held_at(f, cards, 50).items()]
+    want = {(*k, cards[k[1]], tx) for k, tx in brute.held_at(f, cards, 10**9).items()}
+    base = spark.createDataFrame(base, "e long, a long, v string, card tinyint, tx long")
+    got = changefeed.resolve(facts(datoms, attrs).where("tx > 50"), base, edges=[60, 70])
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_totals(log):
+    rows, datoms, attrs = log
+    f, _ = brute.facts_of(rows)
+    kinds = {i: vt for i, _, vt, _ in brute.SCHEMA} | {6: 2}
+    whole = {r for r in rows if r[1] in kinds and r[2] == kinds[r[1]]}
+    want = {}
+    for a in {r[1] for r in whole}:
+        mine = [r for r in whole if r[1] == a]
+        txs = [r[8] for r in mine if r[8] is not None]
+        want[a] = (len(mine), len({r[0] for r in mine if r[0] is not None}), min(txs), max(txs))
+    got = {r[0]: tuple(r[1:]) for r in eager.attribute_totals(datoms, attrs).collect()}
+    assert got == want
+
+
+def test_joined_counts(spark):
+    left = spark.createDataFrame([(1, 2), (1, 3), (2, None), (None, 9), (3, 1)], "k int, m int")
+    right = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (1, None), (None, "z")], "k int, g string")
+    want = sorted(map(str, left.join(right, "k").groupBy("g").agg(F.count("*"), F.sum("m")).collect()))
+    got = eager.joined_counts(left, right, "k", "g", "m").collect()
+    assert sorted((r.g or "", r.rows, r.total) for r in got) == [("", 2, 5), ("x", 4, 10), ("y", 1, None)]
+    assert len(want) == len(got)
+
+
+def test_orphans(log, spark):
+    rows, datoms, attrs = log
+    f, cards = brute.facts_of(rows)
+    held = brute.held_at(f, cards, 10**9)
+    born = {}
+    for e, _, _, tx, op in f:
+        if not op:
+            born[e] = min(tx, born.get(e, tx))
+    live = {e for e, _, _ in held}
+    want = set()
+    for (e, a, v), tx in held.items():
+        if dict((i, vt) for i, _, vt, _ in brute.SCHEMA).get(a) == 5:
+            kind = "missing" if int(v) not in born else "deleted" if int(v) not in live else "later" if born[int(v)] > tx else None
+            if kind:
+                want.add(("datoms.v_ref", f"{e}:{a}:{v}:{tx}", kind))
+    want.add(("datoms.a", "101:77:33", "missing"))
+    ops = spark.createDataFrame([(1, 30, "movie/name"), (2, 5, "movie/name"), (3, 30, "no/such"), (4, 30, None), (4, 30, None)], "op_id long, tx long, attr_ident string")
+    want |= {("operations.attr_ident", "2", "later"), ("operations.attr_ident", "3", "missing"), ("operations.attr_ident", "4", "missing")}
+    got = orphans.orphans(datoms, attrs, ops).collect()
+    assert sorted((r.src, r.rec, r.kind) for r in got) == sorted(want)
+    assert {r.ym for r in got if r.rec == "3"} == {"2018-04"}
+    assert {r.ym for r in got if r.rec == "2"} == {None}
+
+
+def test_count_deltas_add_up(log, spark):
+    rows, datoms, attrs = log
+    f = facts(datoms, attrs)
+    before, after = states(f.where("tx <= 50")), states(f)
+    whole = orphans.add_counts(orphans.count_deltas(None, after)).select("key", "refs", "live").where("refs != 0 or live != 0")
+    steps = orphans.count_deltas(None, before).unionByName(orphans.count_deltas(before, after))
+    steps = orphans.add_counts(steps).select("key", "refs", "live").where("refs != 0 or live != 0")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, steps.collect()))
+
+
+def test_movies(log):
+    rows, datoms, attrs = log
+    f, cards = brute.facts_of(rows)
+    wide = {}
+    for (e, a, v), tx in brute.held_at(f, cards, 10**9).items():
+        if a in (8, 9, 10, 11, 21, 22):
+            wide.setdefault(e, {}).setdefault(a, []).append(v)
+    typed = {8: str, 9: int, 21: lambda v: round(float(v) * 100), 22: int}
+    want = []
+    for e, x in wide.items():
+        top = {a: max(map(typed[a], x[a])) if a in x else d for a, d in ((8, ""), (9, -1), (21, -1), (22, -1))}
+        want.append((e, top[8], top[9], top[21], top[22], len(x.get(11, []))))
+    assert sorted(map(tuple, widen.movies(datoms, attrs).collect())) == sorted(want)
+
+
+def test_empty_tables(spark):
+    datoms, attrs = frames(spark, [])
+    none = attrs.limit(0)
+    for a in (attrs, none):
+        f = facts(datoms, a)
+        assert states(f).count() == 0
+        assert history.history(f).count() == 0
+        assert changefeed.resolve(f).count() == 0
+        assert eager.attribute_totals(datoms, a).count() == 0
+        assert widen.movies(datoms, a).count() == 0
+        assert asof.as_of(f, spark.createDataFrame([(1, 1, 1, 1)], "id long, e long, a long, at long")).count() == 0
+        ops = spark.createDataFrame([], "op_id long, tx long, attr_ident string")
+        assert orphans.orphans(datoms, a, ops).count() == 0
