@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import timeline
 from tidelog.operators.facts import ONE, facts
-from tidelog.operators.skew import HOT_SHARE, hot_keys
+from tidelog.operators.skew import HOT_SHARE, hot_keys, is_hot
 
 NEVER = -1
 WORD = 64
@@ -151,11 +151,14 @@ def history(changes: DataFrame, share: float = HOT_SHARE, blocks: int = timeline
     hot = hot_keys(rows, timeline.KEY, share)
     edges = timeline.edges_for(rows, hot, blocks)
     key = [*timeline.KEY, "block"]
-    cut = timeline.blocked(rows, hot, edges).repartition(*key).sortWithinPartitions(*key, "tx")
-    pieces = cut.mapInArrow(_periods(edges), _OUT)
+
+    def pieces(part: DataFrame) -> DataFrame:
+        return part.repartition(*key).sortWithinPartitions(*key, "tx").mapInArrow(_periods(edges), _OUT)
+
+    whole = pieces(rows.where(~is_hot(timeline.KEY, hot)).withColumn("block", F.lit(0))).select("e", "a", "v", "from_tx", "to_tx")
     if not hot:
-        return pieces.select("e", "a", "v", "from_tx", "to_tx")
-    return _joined(pieces)
+        return whole
+    return whole.unionByName(_joined(pieces(timeline.blocked(rows.where(is_hot(timeline.KEY, hot)), hot, edges))))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:

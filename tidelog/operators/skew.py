@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is looked at as hot from this share of the rows on; at most 1/HOT_SHARE keys per summary.
+#: A key is hot from this share of the rows on; so at most 1/HOT_SHARE keys are.
 HOT_SHARE = 1 / 400
+#: Counters of the summary; its counts are too high by at most about 3.5/TRACKED of all rows.
+TRACKED = 10_000
 
 
 def key_hash(cols: Sequence[str | Column]) -> Column:
@@ -16,14 +19,15 @@ def key_hash(cols: Sequence[str | Column]) -> Column:
 
 
 def hot_keys(df: DataFrame, cols: Sequence[str | Column], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows.
+    """Hashes of the keys that hold more than ``share`` of the rows, from one pass over them.
 
-    A frequent-items summary misses none of them but may name a few others, which costs callers
-    nothing but a detour. The list has at most about 1/share entries at any table size, so it may
-    be put into a plan as a constant. An empty table gives an empty list.
+    The summary's counts are never too low, so it misses none; a key a little under the share may be
+    named as well, which costs callers nothing but a detour. The list has at most 1/share entries at
+    any table size, so it may be put into a plan as a constant. An empty table gives an empty list.
     """
-    row = df.select(key_hash(cols).alias("k")).stat.freqItems(["k"], share).first()
-    return sorted(k for k in (row[0] if row and row[0] else []) if k is not None)
+    most = math.ceil(1 / share)
+    row = df.select(key_hash(cols).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {most}, {max(TRACKED, 16 * most)})").alias("top")).first()
+    return sorted(x.item for x in row.top or [] if x["count"] > share * row.n)
 
 
 def is_hot(cols: Sequence[str | Column], hot: Sequence[int]) -> Column:
