@@ -35,6 +35,8 @@ SHAPE_THRESHOLD = 9.0
 LONGEST_QUOTE = 300
 #: Log probability below which prose counts as this improbable, so that rare words aren't residue.
 FLOOR = -12.0
+#: Ratios are kept as whole numbers of 1/UNIT.
+UNIT = 64
 #: Bounds of a gram's ratio; the few fixed words of fields count for more each.
 LEAST, MOST = -4.0, {"field": 8.0, "filler": 5.0, "notice": 5.0}
 SHAPE_MOST = 8.0
@@ -108,7 +110,6 @@ def seeds() -> dict[str, str]:
     return {"field": filled(FIELD_FORMS, [_ANY]), "filler": " ".join(FILLER), "notice": " ".join(NOTICES)}
 
 
-_SPACE = re.compile(r"\s+")
 _QUOTES = re.compile(
     "„[^„“”\n]{0,%d}[“”]|“[^“”\n]{0,%d}”|« [^«»\n]{0,%d} »|»[^«»\n]{0,%d}«|(?<!=)\"[^\"<>\n]{0,%d}\"" % ((LONGEST_QUOTE,) * 5)
 )
@@ -118,7 +119,7 @@ def plain(text: str) -> str:
     """Text without differences of form: NFKC, lower case, single spaces, one at either end; empty if blank."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = _SPACE.sub(" ", text).lower().strip()
+    text = " ".join(text.lower().split())
     return f" {text} " if text else ""
 
 
@@ -233,7 +234,8 @@ def fit(prose: np.ndarray) -> Model:
         kinds.append(kind)
         rows.append(np.clip(log_seeds(n) - texts, LEAST, MOST[kind]))
     n = np.bincount(np.concatenate([grams(codes(g)) for g in shape_grams()]), minlength=size)
-    return Model(kinds, np.array(rows, np.float32), np.clip(log_seeds(n) - shapes, 2 * LEAST, SHAPE_MOST).astype(np.float32))
+    whole = lambda x: np.round(np.array(x) * UNIT).astype(np.int32)
+    return Model(kinds, whole(rows), whole(np.clip(log_seeds(n) - shapes, 2 * LEAST, SHAPE_MOST)))
 
 
 def windows(text: str, model: Model) -> list[tuple[int, int, str, float]]:
@@ -252,62 +254,59 @@ def _judge(held: list[str], model: Model, strictness: float = 1.0) -> tuple[np.n
     ends = np.cumsum([len(t) + len(_GAP) for t in held])
     text_ends = ends - len(_GAP)
     g = grams(c)
-    cover = np.zeros(len(c) + 1, bool)
-    best, kind = np.zeros(len(held), np.float32), np.zeros(len(held), np.int64)
+    edge = np.zeros(len(c) + 1, np.int32)
+    best, kind = np.zeros(len(held), np.int32), np.zeros(len(held), np.int64)
     quoted = np.zeros(len(c), bool)
     if any(q in joined for q in "“„«»\""):
         for m in _QUOTES.finditer(joined):
             quoted[max(0, m.start() - 1) : m.end()] = True
-    outside = c == ord("\n")  # the gaps: plain texts have no line ends
-
-    def reaches(flags: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Whether a flag is set among the characters first to last."""
-        before = np.concatenate([[0], np.cumsum(flags)])
-        return before[last + 1] > before[first]
 
     def sweep(r: np.ndarray, at: np.ndarray | None, k: int, lengths: tuple[int, ...], least: float) -> None:
-        """Windows over the ratios ``r`` of grams that begin at the characters ``at``."""
-        total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
-        for w in lengths:
-            over = (total[w:] - total[:-w]) - least
-            hit = np.flatnonzero(over > 0)
-            if not len(hit):
-                continue
+        """Windows over the ratios ``r`` of grams that begin at the characters ``at``.
+
+        A longer window is some shortest ones side by side, one of which has at least its share of the
+        ratio, so only those around such a shortest window are looked at.
+        """
+        total = np.zeros(len(r) + 1, np.int32)
+        np.cumsum(r, out=total[1:])
+        least, short = int(least * UNIT), lengths[0]
+        likely = np.flatnonzero(total[short:] - total[:-short] > least // (lengths[-1] // short))
+        for w in lengths if len(likely) else ():
+            start = likely if w == short else np.unique(np.add.outer(likely, -np.arange(0, w, short)))
+            start = start[(start >= 0) & (start <= len(r) - w)]
+            over = total[start + w] - total[start] - least
+            hit, over = start[over > 0], over[over > 0]
             begin = hit if at is None else at[hit]
-            inside = begin < text_ends[np.searchsorted(ends, begin, side="right")]
-            hit, begin = hit[inside], begin[inside]
             row = np.searchsorted(ends, begin, side="right")
-            top = np.zeros(len(held), np.float32)
-            np.maximum.at(top, row, over[hit].astype(np.float32))
+            inside = begin < text_ends[row]
+            hit, over, row = hit[inside], over[inside], row[inside]
+            if not len(hit):
+                continue
+            top = np.zeros(len(held), np.int32)
+            np.maximum.at(top, row, over)
             better = top > best
             best[better], kind[better] = top[better], k
             # trimmed to where its evidence begins and ends
             good = np.flatnonzero(r > 0)
-            first = good[np.minimum(np.searchsorted(good, hit), len(good) - 1)]
-            last = good[np.maximum(np.searchsorted(good, hit + w) - 1, 0)]
-            begin = first if at is None else at[first]
-            end = last + GRAM if at is None else at[np.minimum(last + GRAM - 1, len(at) - 1)] + 1
-            edge = np.zeros(len(cover) + 1, np.int32)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, np.minimum(end, text_ends[row]), -1)
-            cover[np.cumsum(edge[:-1]) > 0] = True
-
-    first = np.arange(len(g))
-    neutral = np.flatnonzero(reaches(outside, first, first + GRAM - 1))
+            first = good[np.searchsorted(good, hit)]
+            last = good[np.searchsorted(good, hit + w) - 1]
+            np.add.at(edge, first if at is None else at[first], 1)
+            np.add.at(edge, np.minimum(last + GRAM if at is None else at[np.minimum(last + GRAM - 1, len(at) - 1)] + 1, text_ends[row]), -1)
+
+    neutral = np.add.outer(text_ends, np.arange(1 - GRAM, len(_GAP))).ravel()
+    neutral = neutral[(neutral >= 0) & (neutral < len(g))]
     barred = np.flatnonzero(quoted[: len(g)])
     for k, ratios in enumerate(model.ratios):
         r = ratios[g]
         r[neutral] = 0
-        r[barred] = 2 * LEAST
+        r[barred] = 2 * LEAST * UNIT
         sweep(r, None, k, WINDOWS, strictness * THRESHOLDS[model.kinds[k]])
     s, at = shape(c)
-    h = grams(s)
-    first, last = at[: len(h)], at[GRAM - 1 :][: len(h)]
-    r = model.shapes[h]
-    r[reaches(outside, first, last)] = 0
-    r[reaches(quoted, first, last)] = -1e4
+    r = model.shapes[grams(s)]
+    for flag, x in ((s == ord("\n"), 0), (quoted[at], -1000 * UNIT)):
+        r[np.logical_or.reduce([flag[i : i + len(r)] for i in range(GRAM)])] = x
     sweep(r, at, model.kinds.index("field"), SHAPE_WINDOWS, strictness * SHAPE_THRESHOLD)
-    return best, cover, kind
+    return best / np.float32(UNIT), np.cumsum(edge) > 0, kind
 
 
 def _scorer(model, strictness: float):
