@@ -171,34 +171,35 @@ class ParquetLog(DatomLog):
         parts = [self._at(p) for p in self.manifest["parts"]]
         if not parts:
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        # each part is partitioned by a, which is read as a column of the log's type
-        frames = self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "false")
-        if len(parts) == 1:
-            return frames.parquet(parts[0]).select(*LOG_SCHEMA.names)
-        return frames.option("basePath", self.path).parquet(*parts).select(*LOG_SCHEMA.names)
+        # a is the parts' partition column, read in the log's type
+        return self.spark.read.schema(LOG_SCHEMA).option("basePath", self.path).parquet(*parts).select(*LOG_SCHEMA.names)
 
-    def save(self, rows: Sequence[tuple] | DataFrame) -> None:
+    def save(self, rows: Sequence[tuple] | DataFrame, mark: tuple[str, int] | None = None) -> None:
+        """Appends rows. ``mark`` (a stream and the number of its batch) makes that happen once: it is
+        published with the rows, and a batch that is not beyond its stream's last is left out."""
         if self.read_only:
             raise PermissionError("the log was opened to be read")
+        if mark is not None and self.manifest.get("marks", {}).get(mark[0], -1) >= mark[1]:
+            return
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows), LOG_SCHEMA)
         part = f"part={len(self.manifest['parts']):06d}-{uuid.uuid4().hex[:8]}"
         self._write(df, part)
-        self._add([part], self.manifest["parts"])
+        self._add(part, dict(self.manifest.get("marks", {}), **({mark[0]: mark[1]} if mark else {})))
 
     def _write(self, df: DataFrame, part: str) -> None:
         df = df.select(*LOG_SCHEMA.names)
         df.repartition("a").sortWithinPartitions("a", "e").write.partitionBy("a").parquet(self._at(part))
 
-    def _add(self, new: list[str], old: list[str]) -> None:
-        """Publishes old and new parts; what the manifest says of the new ones is read from them."""
-        latest, retracted = self.manifest["latest"], set(self.manifest["retracted"])
-        for p in new:
-            if not any(n.startswith("a=") for n in os.listdir(self._at(p))):
-                continue
-            got = self.spark.read.schema(LOG_SCHEMA).parquet(self._at(p)).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op")).collect()
+    def _add(self, part: str, marks: dict[str, int]) -> None:
+        """Publishes a new part beside the old ones; what the manifest says of it is read from it."""
+        latest, retracted, parts = self.manifest["latest"], set(self.manifest["retracted"]), list(self.manifest["parts"])
+        if any(n.startswith("a=") for n in os.listdir(self._at(part))):
+            # one row per attribute
+            got = self.spark.read.schema(LOG_SCHEMA).parquet(self._at(part)).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op")).collect()
             latest = max([latest, *(r.e for r in got if r.e is not None)])
             retracted |= {r.a for r in got if r.op == RETRACT}
-        self._publish({"parts": [*old, *new], "latest": latest, "retracted": sorted(retracted)})
+            parts.append(part)
+        self._publish({"parts": parts, "latest": latest, "retracted": sorted(retracted), "marks": marks})
 
     def compact(self) -> None:
         """Rewrites all parts as one; the old files stay for readers that still use them."""
