@@ -14,6 +14,7 @@ from tidelog.plans import query as Q
 from tidelog.plans.edn import parse
 from tidelog.plans.planner import Database
 from tidelog.plans.query import InvalidFindVariable, Query, QueryError
+from tidelog.sources.files import ConcurrentWriter
 from tidelog.sources.log import MemoryLog, ParquetLog
 from tidelog.sources.schema import AttributeDefinition as Def
 from tidelog.sources.schema import Catalog, IdentNotFound, bootstrap_rows
@@ -270,6 +271,12 @@ def test_files(spark, tmp_path):
     reader = ParquetLog(spark, path, read_only=True)
     with pytest.raises(PermissionError):
         reader.save([])
+    other = ParquetLog(spark, path)
+    other.save([V.datom(10**6, 15, V.value("late"), 1)])
+    with pytest.raises(ConcurrentWriter):
+        sut.log.save([V.datom(10**6, 15, V.value("later"), 1)])
+    sut.log.refresh()
+    reader.refresh()
     with pytest.raises(FileNotFoundError):
         ParquetLog(spark, str(tmp_path / "none"), read_only=True)
     before = sorted(map(str, reader.frame().collect()))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.values import ASSERT, LANES, LOG_SCHEMA, REF_TAG, RETRACT, Value, datom, declared, ref, u64, value_of
 from tidelog.sources.log import DatomLog, visible
+from tidelog.session import cut_lineage
 from tidelog.sources.schema import ONE, TX_TIME, AttributeDefinition, IdentNotFound
 
 
@@ -246,10 +250,19 @@ def bulk_transact(log: DatomLog, operations: DataFrame, now: int) -> tuple[int,
 def _numbered(df: DataFrame, order: list[str], start: int) -> DataFrame:
     """``df`` with n = start, start+1, ... in the given order, without bringing all rows to one task.
 
-    Rows are counted per range partition first; the counts, one per partition, give each its offset.
+    Rows are numbered within range partitions and written; the partitions' counts, one row each, give
+    every partition its offset.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    offsets = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = offsets.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(offsets.select("_p", "_o")), "_p").withColumn("n", (F.col("_o") + F.col("_i") - 1 + start).cast("long")).drop("_p", "_i", "_o")
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], schema.names)
+            at += b.num_rows
+
+    parts = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, schema))
+    before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.coalesce(before, F.lit(0)))
+    return parts.join(F.broadcast(offsets.select("_p", "_o")), "_p").select(*names, (F.col("_o") + F.col("_i") + start).alias("n"))

@@ -293,7 +293,7 @@ def condition(t: Test, cols: list[Column], tags: list[int | None]) -> Column:
         return t.condition(*cols)
     f = t.condition
 
-    def run(row) -> bool:
+    def run(row):
         return bool(f(*[V.value_of(tuple(x)) if g is ANY else V.Value(g, int(x) if g == V.U64_TAG else x) for x, g in zip(row, tags)]))
 
     return F.udf(run, T.BooleanType())(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(cols)]))

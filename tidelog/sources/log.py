@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.values import ASSERT, LANES, LOG_SCHEMA, RETRACT, Value, literal
+from tidelog.sources.files import Folder, Versions
 from tidelog.sources.schema import Catalog, bootstrap_rows
 
 _SCHEMA_ATTRIBUTES = (1, 2, 3, 4, 5)
@@ -138,37 +137,32 @@ class MemoryLog(DatomLog):
 class ParquetLog(DatomLog):
     """A log as Parquet files, partitioned by attribute and sorted by entity.
 
-    ``manifest.json`` names the parts that count, the id high-water mark, and the attributes with
-    retracts. A save writes a new part and then renames a new manifest into place, so readers see all
-    of it or nothing. There is one writer at a time; a reader keeps the manifest that it opened.
+    Its manifest names the parts that count, the id high-water mark, the attributes with retracts, and
+    how far each stream has been appended. A save writes a new part and then publishes a new version of
+    the manifest, so readers see all of it or nothing, and a second writer is refused. A reader keeps the
+    version that it opened until ``refresh``.
     """
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
-        self.spark, self.path, self.read_only = spark, path, read_only
-        if not os.path.exists(self._at("manifest.json")):
+        self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
+        self.folder = Folder(spark, path)
+        self.versions = Versions(self.folder, "manifest")
+        self.refresh()
+        if self.version == 0:
             if read_only:
                 raise FileNotFoundError(path)
-            os.makedirs(path, exist_ok=True)
-            self.manifest = {"parts": [], "latest": 0, "retracted": []}
             self.save(bootstrap_rows())
-        self.refresh()
-
-    def _at(self, name: str) -> str:
-        return os.path.join(self.path, name)
 
     def refresh(self) -> None:
-        with open(self._at("manifest.json")) as f:
-            self.manifest = json.load(f)
+        self.version, state = self.versions.latest()
+        self.manifest = state or {"parts": [], "latest": 0, "retracted": [], "marks": {}}
 
     def _publish(self, manifest: dict) -> None:
-        new = self._at(f"manifest.{uuid.uuid4().hex}.new")
-        with open(new, "w") as f:
-            json.dump(manifest, f)
-        os.replace(new, self._at("manifest.json"))
-        self.manifest = manifest
+        self.versions.publish(self.version + 1, manifest)
+        self.version, self.manifest = self.version + 1, manifest
 
     def frame(self) -> DataFrame:
-        parts = [self._at(p) for p in self.manifest["parts"]]
+        parts = [self.folder.at(p) for p in self.manifest["parts"]]
         if not parts:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         # a is the parts' partition column, read in the log's type
@@ -179,23 +173,23 @@ class ParquetLog(DatomLog):
         published with the rows, and a batch that is not beyond its stream's last is left out."""
         if self.read_only:
             raise PermissionError("the log was opened to be read")
-        if mark is not None and self.manifest.get("marks", {}).get(mark[0], -1) >= mark[1]:
+        if mark is not None and self.manifest["marks"].get(mark[0], -1) >= mark[1]:
             return
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows), LOG_SCHEMA)
         part = f"part={len(self.manifest['parts']):06d}-{uuid.uuid4().hex[:8]}"
         self._write(df, part)
-        self._add(part, dict(self.manifest.get("marks", {}), **({mark[0]: mark[1]} if mark else {})))
+        self._add(part, self.manifest["marks"] | ({mark[0]: mark[1]} if mark else {}))
 
     def _write(self, df: DataFrame, part: str) -> None:
         df = df.select(*LOG_SCHEMA.names)
-        df.repartition("a").sortWithinPartitions("a", "e").write.partitionBy("a").parquet(self._at(part))
+        df.repartition("a").sortWithinPartitions("a", "e").write.partitionBy("a").parquet(self.folder.at(part))
 
     def _add(self, part: str, marks: dict[str, int]) -> None:
         """Publishes a new part beside the old ones; what the manifest says of it is read from it."""
         latest, retracted, parts = self.manifest["latest"], set(self.manifest["retracted"]), list(self.manifest["parts"])
-        if any(n.startswith("a=") for n in os.listdir(self._at(part))):
+        if any(n.startswith("a=") for n in self.folder.names(part)):
             # one row per attribute
-            got = self.spark.read.schema(LOG_SCHEMA).parquet(self._at(part)).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op")).collect()
+            got = self.spark.read.schema(LOG_SCHEMA).parquet(self.folder.at(part)).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op")).collect()
             latest = max([latest, *(r.e for r in got if r.e is not None)])
             retracted |= {r.a for r in got if r.op == RETRACT}
             parts.append(part)
