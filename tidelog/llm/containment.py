@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.texts import slices
+from tidelog.llm.texts import slices, spread
 
 RUN = 12
 SHINGLE = 5
@@ -142,6 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = spread(rows)
     found = None
     for block in item_blocks(items, item_id, text, block_chars):
         got = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(Items(block, run))), "id long, item long")

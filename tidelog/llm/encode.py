@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.texts import slices
+from tidelog.llm.texts import slices, spread
 
 TOKENIZERS = os.environ.get("TIDELOG_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how byte-level tokenizers of this family cut text into pieces.
@@ -224,4 +224,4 @@ def encode(docs: DataFrame, id: str, text: str, path: str, ids: str = "ids") ->
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").toDF(id, ids)
+    return spread(rows).mapInArrow(run, f"id {kind}, ids array<int>").toDF(id, ids)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.texts import slices
+from tidelog.llm.texts import slices, spread
 
 GRAM = 5
 BITS = 18
@@ -197,7 +197,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prose_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of all 5-grams of all texts and of their shapes by hash: 2^(BITS+1) numbers, however large the corpus."""
     rows = docs.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = rows.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    got = spread(rows).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 << BITS, np.float64)
     out[got["gram"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -347,5 +347,5 @@ def residue(docs: DataFrame, id: str = "doc_id", text: str = "text", least_cover
     model = docs.sparkSession.sparkContext.broadcast(fit(prose_counts(docs, text)))
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    found = rows.mapInArrow(_scorer(model, strictness), f"id {kind}, kind string, coverage double, excess double")
+    found = spread(rows).mapInArrow(_scorer(model, strictness), f"id {kind}, kind string, coverage double, excess double")
     return found.where(F.col("coverage") > least_coverage).withColumnRenamed("id", id) if id != "id" else found.where(F.col("coverage") > least_coverage)

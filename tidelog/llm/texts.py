@@ -1,4 +1,4 @@
-"""Reading text columns in Arrow batches, cut small enough for a worker's memory."""
+"""Reading text columns: spread over the cores, in Arrow batches cut small enough for a worker's memory."""
 
 from __future__ import annotations
 
@@ -6,6 +6,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` on at least as many partitions as there are cores; only an input of fewer is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def slices(batches: Iterator[pa.RecordBatch], most_chars: int, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
