@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.facts import MANY, declared, facts, part_key, states, value_text
+from tidelog.operators.facts import MANY, declared, states, value_text
 from tidelog.operators.skew import hot_keys, quantile_edges
 from tidelog.session import cut_lineage
 
@@ -37,7 +37,7 @@ def resolve(feed: DataFrame, base: DataFrame | None = None, batches: int = BATCH
     feed = feed.select("e", "a", "v", "tx", "op", "card", "decl")
     if edges is None:
         edges = quantile_edges(feed, "tx", batches)
-    hot = hot_keys(feed.withColumn("pk", part_key()), ["e", "a", "pk"])
+    hot = hot_keys(feed, ["e", "a"])
     bounds = [None, *edges, None]
     settled: DataFrame | None = None  # (e, a, slot, v, card, tx, mark): images, their slots, tombstones
     for low, high in reversed(list(zip(bounds, bounds[1:]))):

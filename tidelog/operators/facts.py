@@ -59,23 +59,17 @@ def facts(datoms: DataFrame, attrs: DataFrame, only: Sequence[int] | None = None
     )
 
 
-def part_key(card: str = "card", v: str = "v") -> Column:
-    """What of a value decides the group it competes in: nothing if one-valued, else the value."""
-    return F.when(F.col(card) == MANY, F.xxhash64(v)).otherwise(F.lit(0).cast("long"))
-
-
 def states(rows: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """One row (e, a, v, card, decl, la, lr, fa, top, holds) for each (e, a, v) of the facts ``rows``.
 
     la and fa are the latest and first asserting tx, lr the latest retracting one; top says that no
     later assert replaced it, holds that moreover no later retract ended it.
 
-    One shuffle by the group within which values compete. Groups that hold a large share of the rows
-    take another way: map-side aggregates by value, and the latest assert of each such group (at most
-    about 1/HOT_SHARE rows) broadcast, so that no task receives such a group.
+    One shuffle by (e, a). Those that hold a large share of the rows take another way: map-side
+    aggregates by value, and the latest assert of each such (e, a) broadcast (see hot_keys for how many
+    there can be), so that no task receives one whole.
     """
-    key = ["e", "a", "pk"]
-    rows = rows.withColumn("pk", part_key())
+    key = ["e", "a"]
     if hot is None:
         hot = hot_keys(rows, key)
     agg = [

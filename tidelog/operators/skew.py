@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of the rows on; so at most 1/HOT_SHARE keys are.
-HOT_SHARE = 1 / 400
+#: A key is hot from this share of the rows on, or from a task's share if that is less; LEAST_SHARE
+#: bounds the number of hot keys.
+HOT_SHARE, LEAST_SHARE = 1 / 400, 1 / 5_000
 #: Counters of the summary; its counts are too high by at most about 3.5/TRACKED of all rows.
 TRACKED = 10_000
 
@@ -18,13 +19,20 @@ def key_hash(cols: Sequence[str | Column]) -> Column:
     return F.xxhash64(*cols)
 
 
-def hot_keys(df: DataFrame, cols: Sequence[str | Column], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows, from one pass over them.
+def hot_share(df: DataFrame) -> float:
+    """HOT_SHARE, or the share of one shuffle partition where there are more of them, but not under LEAST_SHARE."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(HOT_SHARE, 1 / parts), LEAST_SHARE)
+
+
+def hot_keys(df: DataFrame, cols: Sequence[str | Column], share: float | None = None) -> list[int]:
+    """Hashes of the keys that hold more than ``share`` (by default hot_share) of the rows, from one pass over them.
 
     The summary's counts are never too low, so it misses none; a key a little under the share may be
     named as well, which costs callers nothing but a detour. The list has at most 1/share entries at
     any table size, so it may be put into a plan as a constant. An empty table gives an empty list.
     """
+    share = share or hot_share(df)
     most = math.ceil(1 / share)
     row = df.select(key_hash(cols).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {most}, {max(TRACKED, 16 * most)})").alias("top")).first()
     return sorted(x.item for x in row.top or [] if x["count"] > share * row.n)

@@ -25,7 +25,7 @@ def blocked(changes: DataFrame, hot: Sequence[int], edges: Sequence[int]) -> Dat
     """``changes`` (e, a, v, tx, op) with the column ``block``, 0 for groups that are not hot.
 
     Rows of hot groups appear in their own block (1, 2, ...) and in later ones up to the next assert.
-    The table of latest asserts by hot group and block is bounded by 1/HOT_SHARE times the blocks.
+    The table of latest asserts by hot group and block is bounded by the number of hot keys times the blocks.
     """
     if not hot:
         return changes.withColumn("block", F.lit(0))
