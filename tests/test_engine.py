@@ -226,7 +226,7 @@ def test_unique_values(sut):
 
 def test_every_clause_counts(sut):
     r = beatles(sut)
-    assert sut.rows(f'[:find ?r :where [?r :release/name "Abbey Road"] [?r :release/artists {10**6}]]'.replace(f" {10**6}", f" {10**6}")) == []
+    assert sut.rows('[:find ?r :where [?r :release/name "Abbey Road"] [?r :release/artists 1000000]]') == []
     # a clause that binds nothing new
     assert sut.rows('[:find ?r :where [?r :release/name "Abbey Road"] [?r :person/name _]]') == []
     # blanks multiply
