@@ -69,6 +69,31 @@ def test_nulls_blanks_repeats_and_long_texts(spark):
     assert residue.residue(docs.where("text is null")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def model():
+    rows, _ = corpus(5, 500)
+    return residue.fit(sum(residue.both_counts(residue.plain(t)) for _, t in rows).astype(float))
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("The court notes the following. [1] «greffier» [2] {% block costs %}{% endblock %} «witness» was heard.", True),
+        ("Il n’est pas contesté que le message « «greffier» » s’est affiché 3 fois.", False),
+        ("Il n’est pas contesté que le message « {{greffier}} » s’est affiché 3 fois.", False),
+        ("The portal said »Please enable JavaScript to view this page« and nothing else.", False),
+        ("The portal said “404 – the requested page was not found”, the claimant says.", False),
+        ('The portal said "Please enable JavaScript to view this page" and nothing else.', False),
+        ("The portal said. Please enable JavaScript to view this page. Nothing else.", True),
+        ("«amount» 4. This court argued that the deed was “signed” and “sealed”.", True),
+        ("« La demande est rejetée », dit la cour, et le greffe « prend acte ».", False),
+        ("See [2004] 6 OVR 447 [12] and In re Hulwen, 27 KLR 404 (2004), [name withheld] v [...].", False),
+    ],
+)
+def test_quotations_and_fields(model, text, found):
+    assert (residue._judge([residue.plain(text)], model)[0][0] > 0) == found
+
+
 def test_company_changes_nothing():
     rows, _ = corpus(3, 200)
     texts = [residue.plain(t) for _, t in rows]

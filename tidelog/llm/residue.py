@@ -111,7 +111,7 @@ def seeds() -> dict[str, str]:
 
 
 _QUOTES = re.compile(
-    "„[^„“”\n]{0,%d}[“”]|“[^“”\n]{0,%d}”|« [^«»\n]{0,%d} »|»[^«»\n]{0,%d}«|(?<!=)\"[^\"<>\n]{0,%d}\"" % ((LONGEST_QUOTE,) * 5)
+    "„[^„“”\n]{0,%d}[“”]|“[^“”\n]{0,%d}”|« (?:[^«»\n]|«[^«» \n]{1,60}»){0,%d} »|(?<![\\w.])»(?=\\S)[^«»\n]{0,%d}(?<=\\S)«(?!\\w)|(?<!=)\"[^\"<>\n]{0,%d}\"" % ((LONGEST_QUOTE,) * 5)
 )
 
 
@@ -143,21 +143,22 @@ def grams(c: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) * _K >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _name_chars() -> np.ndarray:
-    return np.array([chr(i).isalpha() or chr(i) in "_" for i in range(0x3000)])
+def _classes() -> np.ndarray:
+    """For each character below U+3000: 1 for letters and underscores, 2 for digits, else 0."""
+    return np.array([1 if chr(i).isalpha() or chr(i) == "_" else 2 if chr(i).isdigit() else 0 for i in range(0x3000)], np.int8)
 
 
-_NAME = _name_chars()
+_CLASS = _classes()
 
 
 def shape(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of a text with each name (letters, underscores, inner dots) as one letter, and the positions they come from."""
-    name = _NAME[np.minimum(c, len(_NAME) - 1)]
-    dot = np.zeros(len(c), bool)
-    dot[1:-1] = (c[1:-1] == ord(".")) & name[:-2] & name[2:]
-    name = name | dot
-    at = np.flatnonzero(~(name & np.append(False, name[:-1])))
-    return np.where(name[at], np.uint32(ord("a")), c[at]), at
+    """The codes of a text with each name (letters, underscores, inner dots) as one letter and each number as one digit, and the positions they come from."""
+    kind = _CLASS[np.minimum(c, len(_CLASS) - 1)]
+    if len(c) > 2:
+        kind[1:-1][(c[1:-1] == ord(".")) & (kind[:-2] == 1) & (kind[2:] == 1)] = 1
+    at = np.flatnonzero((kind == 0) | (kind != np.append(0, kind[:-1])))
+    kind = kind[at]
+    return np.where(kind == 1, np.uint32(ord("a")), np.where(kind == 2, np.uint32(ord("1")), c[at])), at
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], str]]:
