@@ -34,7 +34,7 @@ def test_states(log):
 def test_history(log, share, blocks, least, monkeypatch, spark):
     rows, datoms, attrs = log
     real = timeline.regrouped
-    monkeypatch.setattr(history.timeline, "regrouped", lambda b, k: real(b, k, least))
+    monkeypatch.setattr(history.timeline, "regrouped", lambda b: real(b, least))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(least, 10_000)))
     try:
         f, cards = brute.facts_of(rows)
@@ -63,7 +63,7 @@ def test_bit_runs():
 def test_as_of(log, share, blocks, least, monkeypatch, spark):
     rows, datoms, attrs = log
     real = timeline.regrouped
-    monkeypatch.setattr(asof.timeline, "regrouped", lambda b, k: real(b, k, least))
+    monkeypatch.setattr(asof.timeline, "regrouped", lambda b: real(b, least))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(least, 10_000)))
     r = random.Random(9)
     f, cards = brute.facts_of(rows)

@@ -26,7 +26,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (e, a, block, salt, tx, op, id); op 2 is an event."""
     held: pa.Table | None = None
     names = ["e", "a", "v", "tx", "op", "block", "salt", "id"]
-    for table, end in timeline.regrouped(batches, ("e", "a", "block", "salt")):
+    for table, end in timeline.regrouped(batches):
         t = table.select(names)
         old = held.num_rows if held is not None else 0
         if old:

@@ -63,7 +63,7 @@ def _periods(edges: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # what still holds in the last group, as asserts at its last assert's tx
-        for table, end in timeline.regrouped(batches, ("e", "a", "block")):
+        for table, end in timeline.regrouped(batches):
             t = table.append_column("start", table["tx"])
             if held is not None:
                 t = pa.concat_tables([held, t.select(held.column_names)])

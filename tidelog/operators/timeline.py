@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.skew import block_of, is_hot, quantile_edges
@@ -53,8 +53,11 @@ def edges_for(changes: DataFrame, hot: Sequence[int], blocks: int = BLOCKS) -> l
     return quantile_edges(changes.where(is_hot(KEY, hot)), "tx", blocks) if hot else []
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], key: Sequence[str], least: int = 50_000) -> Iterator[tuple[pa.Table, bool]]:
-    """Joins sorted batches to tables of at least ``least`` rows; says of each whether it is the last."""
+def regrouped(batches: Iterator[pa.RecordBatch], least: int = 50_000, least_bytes: int = 32_000_000) -> Iterator[tuple[pa.Table, bool]]:
+    """Joins batches to tables of at least ``least`` rows or ``least_bytes``; says of each whether it is the last.
+
+    As batches are bounded by the session in rows and bytes, so are the tables.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     ready: pa.Table | None = None
@@ -63,7 +66,7 @@ def regrouped(batches: Iterator[pa.RecordBatch], key: Sequence[str], least: int
             continue
         held.append(b)
         size += b.num_rows
-        if size >= least:
+        if size >= least or sum(x.nbytes for x in held) >= least_bytes:
             if ready is not None:
                 yield ready, False
             ready, held, size = pa.Table.from_batches(held), [], 0

@@ -190,6 +190,42 @@ def q_retract(spark, d):
     return Database(log).query(Query().find(count("n"), count_distinct("?x", "targets")).where("?m", "movie/cast", "?x"))
 
 
+_VISIBLE = "d.op = 0 AND d.tx <= {t} AND NOT EXISTS (SELECT 1 FROM datoms r WHERE r.op = 1 AND r.e = d.e AND r.a = d.a AND r.vt = d.vt AND r.v_i64 IS NOT DISTINCT FROM d.v_i64 AND r.v_u64 IS NOT DISTINCT FROM d.v_u64 AND r.v_dec IS NOT DISTINCT FROM d.v_dec AND r.v_str IS NOT DISTINCT FROM d.v_str AND r.v_ref IS NOT DISTINCT FROM d.v_ref AND r.tx > d.tx AND r.tx <= {t})"
+
+
+@_query(f"SELECT d.a, d.tx, d.v_ref AS ref FROM datoms d WHERE d.e = 900 AND d.vt = 5 AND {_VISIBLE.format(t=30000)}")
+def q_find_entity(spark, d):
+    """A restricted scan as of a basis: all visible references of one entity."""
+    log = FrameLog(spark.read.parquet(f"{d}/datoms.parquet"))
+    return log.find(e=900, basis=30000).where("vt = 5").select("a", "tx", F.col("v_ref").alias("ref"))
+
+
+@_query(f"SELECT d.e, d.tx FROM datoms d WHERE d.a = 13 AND d.vt = 4 AND d.v_str >= 'M' AND {_VISIBLE.format(t=9000000000000)}")
+def q_find_attribute(spark, d):
+    log = FrameLog(spark.read.parquet(f"{d}/datoms.parquet"))
+    return log.find(a=13).where("vt = 4 AND v_str >= 'M'").select("e", "tx")
+
+
+@_query(f"SELECT d.a, count(*) AS n FROM datoms d WHERE d.tx = (SELECT max(tx) FROM datoms WHERE tx <= 20000) AND {_VISIBLE.format(t=9000000000000)} GROUP BY d.a")
+def q_find_tx(spark, d):
+    """The visible datoms of one transaction, the last one up to 20000."""
+    log = FrameLog(spark.read.parquet(f"{d}/datoms.parquet"))
+    tx = log.frame().where("tx <= 20000").agg(F.max("tx")).first()[0]
+    return log.find(tx=tx).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT max(e) AS latest FROM datoms")
+def q_latest_entity_id(spark, d):
+    return spark.createDataFrame([(FrameLog(spark.read.parquet(f"{d}/datoms.parquet")).latest_entity_id(),)], "latest long")
+
+
+@_query("SELECT 3001 AS a, count(*) AS n FROM nation UNION ALL SELECT 3000, count(*) FROM nation UNION ALL SELECT 2000, count(*) FROM region")
+def q_table_cells(spark, d):
+    """Every cell of some tables as a datom, under a variable attribute."""
+    q = Query().find("?a", count("n")).where("?e", "?a", "_", 7).value_pred("?e", P.ge(V.ref(1 << KEY_BITS)))
+    return _db(spark, d, "nation", "region").query(q)
+
+
 # aggregates
 
 
@@ -203,6 +239,21 @@ def q_count_key(spark, d):
     return _db(spark, d, "orders").query(Query().find("?s", count("n")).where("?o", "order/status", "?s"))
 
 
+@_query("SELECT p_brand AS brand, min(p_size)::bigint AS least FROM part GROUP BY p_brand")
+def q_min(spark, d):
+    return _db(spark, d, "part").query(Query().find("?b", minimum("?s", "least")).where("?p", "part/brand", "?b").where("?p", "part/size", "?s")).toDF("brand", "least")
+
+
+@_query("SELECT max(p_size)::bigint AS most FROM part HAVING count(*) > 0")
+def q_max(spark, d):
+    return _db(spark, d, "part").query(Query().find(maximum("?s", "most")).where("?p", "part/size", "?s"))
+
+
+@_query("SELECT sum(l_quantity)::bigint AS total FROM lineitem HAVING count(*) > 0")
+def q_sum(spark, d):
+    return _db(spark, d, "lineitem").query(Query().find(total("?q", "total")).where("?l", "line/quantity", "?q"))
+
+
 @_query("SELECT l_returnflag AS f, min(l_quantity)::bigint AS least, max(l_quantity)::bigint AS most, sum(l_quantity)::bigint AS total FROM lineitem GROUP BY l_returnflag")
 def q_min_max_sum(spark, d):
     q = Query().find("?f", minimum("?q", "least"), maximum("?q", "most"), total("?q", "total")).where("?l", "line/returnflag", "?f").where("?l", "line/quantity", "?q")
