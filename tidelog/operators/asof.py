@@ -71,7 +71,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[ask]), pa.array(tx[v])], ["id", "tx"])
 
 
-def as_of(changes: DataFrame, events: DataFrame, share: float | None = None, blocks: int = timeline.BLOCKS, salts: int = SALTS) -> DataFrame:
+def as_of(changes: DataFrame, events: DataFrame, share: float | None = None, blocks: int | None = None, salts: int = SALTS) -> DataFrame:
     """(id, tx) for each event (id, e, a, at) at whose tx ``at`` a value of one-valued (e, a) holds.
 
     ``changes`` are facts (e, a, v, tx, op); the resulting tx is that of the latest assert up to

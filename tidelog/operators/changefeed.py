@@ -46,7 +46,9 @@ def resolve(feed: DataFrame, base: DataFrame | None = None, batches: int = BATCH
             part = part.where(F.col("tx") >= low)
         if high is not None:
             part = part.where(F.col("tx") < high)
-        now = states(part, hot).withColumn("slot", _slot())
+        gone = F.col("lr").isNotNull() & (F.col("la").isNull() | (F.col("lr") > F.col("la")))
+        # what its own batch has replaced already settles nothing
+        now = states(part, hot).withColumn("slot", _slot()).withColumn("gone", gone).where(F.col("top") | F.col("gone"))
         if settled is not None:
             asserted = settled.where(F.col("mark") != "gone").select(*_SLOT).distinct()
             buried = settled.where(F.col("mark") == "gone").select("e", "a", "v").distinct().withColumn("buried", F.lit(True))
@@ -54,10 +56,11 @@ def resolve(feed: DataFrame, base: DataFrame | None = None, batches: int = BATCH
             holds = F.col("holds") & F.col("buried").isNull()
         else:
             holds = F.col("holds")
-        image = F.when(F.col("top") & holds, "image").when(F.col("top"), "ended").when(F.col("lr").isNotNull() & (F.col("la").isNull() | (F.col("lr") > F.col("la"))), "gone")
-        new = now.select("e", "a", "slot", "v", "card", F.col("la").alias("tx"), image.alias("mark")).where(F.col("mark").isNotNull())
+        image = F.when(F.col("top") & holds, "image").when(F.col("top"), "ended").otherwise("gone")
+        new = now.select("e", "a", "slot", "v", "card", F.col("la").alias("tx"), image.alias("mark"))
         # an assert that was ended also buries older asserts of its value, as its slot is settled
-        settled = cut_lineage(new if settled is None else settled.unionByName(new))
+        new = cut_lineage(new)
+        settled = new if settled is None else settled.unionByName(new)
     images = settled.where(F.col("mark") == "image").select("e", "a", "v", "card", "tx")
     if base is None:
         return images

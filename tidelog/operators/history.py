@@ -139,7 +139,7 @@ def _periods(edges: list[int]):
     return run
 
 
-def history(changes: DataFrame, share: float | None = None, blocks: int = timeline.BLOCKS) -> DataFrame:
+def history(changes: DataFrame, share: float | None = None, blocks: int | None = None) -> DataFrame:
     """(e, a, v, from_tx, to_tx): the maximal periods in which one-valued (e, a) holds v without a break.
 
     ``changes`` are facts of one-valued attributes (e, a, v, tx, op). to_tx is the first tx at which v

@@ -45,13 +45,18 @@ def is_hot(cols: Sequence[str | Column], hot: Sequence[int]) -> Column:
 def quantile_edges(df: DataFrame, col: str, parts: int) -> list[int]:
     """Inner edges, at most parts-1 and ascending, that cut ``col`` into about equal shares."""
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(col, F.array(*map(F.lit, at)), F.lit(1000)).alias("q")).first()[0]
+    got = df.agg(F.percentile_approx(col, F.array(*map(F.lit, at)), F.lit(max(1_000, 4 * parts))).alias("q")).first()[0]
     return sorted({int(x) for x in got or []})
 
 
 def block_of(col: str | Column, edges: Sequence[int]) -> Column:
-    """Number of edges that are less than or equal to the value: 0 to len(edges)."""
+    """Number of edges that are less than or equal to the value, 0 to len(edges), by binary search."""
     c = F.col(col) if isinstance(col, str) else col
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in edges]), lambda x: x <= c))
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(c < F.lit(edges[mid]).cast("long"), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return search(0, len(edges))

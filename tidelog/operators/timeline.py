@@ -11,48 +11,49 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.skew import block_of, is_hot, quantile_edges
 
-#: Blocks that a hot group is cut into.
-BLOCKS = 64
+#: A hot group is cut into as many blocks as there are shuffle partitions, but into these at least and most.
+LEAST_BLOCKS, MOST_BLOCKS = 64, 1_024
+#: Rows of the table of hot groups' blocks that are broadcast; a larger one is joined by shuffle.
+BROADCAST_BLOCKS = 200_000
 KEY = ["e", "a"]
 
 
+def edges_for(changes: DataFrame, hot: Sequence[int], blocks: int | None = None) -> list[int]:
+    """tx values at which hot groups are cut, by the quantiles of their rows."""
+    if not hot:
+        return []
+    if blocks is None:
+        blocks = min(max(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BLOCKS), MOST_BLOCKS)
+    return quantile_edges(changes.where(is_hot(KEY, hot)), "tx", blocks)
+
+
 def blocked(changes: DataFrame, hot: Sequence[int], edges: Sequence[int]) -> DataFrame:
     """``changes`` (e, a, v, tx, op) with the column ``block``, 0 for groups that are not hot.
 
-    Rows of hot groups appear in their own block (1, 2, ...) and in later ones up to the next assert.
-    The table of latest asserts by hot group and block is bounded by the number of hot keys times the blocks.
+    Rows of hot groups appear in their own block (1, 2, ...). Those not followed by an assert in it also
+    appear in the blocks after it, up to the next one with an assert. What a row has to know for that, the
+    latest assert in its block and the next block with one, is in a table with at most one row per hot
+    group and block.
     """
     if not hot:
         return changes.withColumn("block", F.lit(0))
     cold = changes.where(~is_hot(KEY, hot)).withColumn("block", F.lit(0))
     some = changes.where(is_hot(KEY, hot)).withColumn("own", block_of("tx", edges) + 1)
-    n = len(edges) + 1
-    asserts = some.where(F.col("op") == 0).groupBy(*KEY, "own").agg(F.max("tx").alias("top"))
-    lasts = asserts.groupBy(*KEY).agg(F.collect_list(F.struct("own", "top")).alias("tops"))
-    # before[b-1]: the latest assert in blocks less than b, or the least number there is
-    least = F.lit(-(2**63)).cast("long")
-    before = F.transform(
-        F.sequence(F.lit(1), F.lit(n)),
-        lambda b: F.coalesce(F.array_max(F.transform(F.filter("tops", lambda t: t["own"] < b), lambda t: t["top"])), least),
-    )
-    some = some.join(F.broadcast(lasts.select(*KEY, before.alias("before"))), KEY, "left")
-    ends = F.size(F.filter("before", lambda m: m <= F.col("tx")))
-    last = F.when(F.col("before").isNull(), F.col("own")).when(F.col("own") == n, F.col("own"))
-    last = last.when(F.element_at("before", F.least(F.col("own") + 1, F.lit(n))) > F.col("tx"), F.col("own")).otherwise(ends)
-    some = some.withColumn("block", F.explode(F.sequence(F.col("own"), F.greatest(F.col("own"), last))))
+    later = Window.partitionBy(*KEY).orderBy("own").rowsBetween(1, Window.unboundedFollowing)
+    known = some.groupBy(*KEY, "own").agg(F.max(F.when(F.col("op") == 0, F.col("tx"))).alias("top"))
+    known = known.withColumn("following", F.min(F.when(F.col("top").isNotNull(), F.col("own"))).over(later))
+    if len(hot) * (len(edges) + 1) <= BROADCAST_BLOCKS:
+        known = F.broadcast(known)
+    last = F.when(F.col("top") > F.col("tx"), F.col("own")).otherwise(F.coalesce(F.col("following"), F.lit(len(edges) + 1)))
+    some = some.join(known, [*KEY, "own"]).withColumn("block", F.explode(F.sequence(F.col("own"), last)))
     return cold.unionByName(some.select(*cold.columns))
 
 
-def edges_for(changes: DataFrame, hot: Sequence[int], blocks: int = BLOCKS) -> list[int]:
-    """tx values at which hot groups are cut, by the quantiles of their rows."""
-    return quantile_edges(changes.where(is_hot(KEY, hot)), "tx", blocks) if hot else []
-
-
 def regrouped(batches: Iterator[pa.RecordBatch], least: int = 50_000, least_bytes: int = 32_000_000) -> Iterator[tuple[pa.Table, bool]]:
     """Joins batches to tables of at least ``least`` rows or ``least_bytes``; says of each whether it is the last.
 
