@@ -198,7 +198,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prose_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of all 5-grams of all texts and of their shapes by hash: 2^(BITS+1) numbers, however large the corpus."""
     rows = docs.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = spread(rows).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = spread(rows).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # one row per hash, seen or not, so what comes to the driver has the same size whatever the corpus
+    every = docs.sparkSession.range(2 << BITS).select(F.col("id").cast("int").alias("gram"))
+    got = every.join(counts, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
     out = np.zeros(2 << BITS, np.float64)
     out[got["gram"].to_numpy()] = got["n"].to_numpy()
     return out
