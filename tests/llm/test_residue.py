@@ -94,6 +94,16 @@ def test_quotations_and_fields(model, text, found):
     assert (residue._judge([residue.plain(text)], model)[0][0] > 0) == found
 
 
+def test_quotation_across_parts(spark):
+    r = random.Random(6)
+    begin = "\n".join(prose(r, 15_000))[: residue._CHUNK - 40]
+    begin = residue.plain(begin).strip()[: residue._CHUNK - 40]
+    quote = "The portal said “Please enable JavaScript to view this page, or go back to the search page” and “404 – page not found”. "
+    docs = [(1, begin + " " + quote * 3 + "\n".join(prose(r, 50))), (2, begin + " Please enable JavaScript to view this page. " + "\n".join(prose(r, 50)))]
+    docs = spark.createDataFrame(docs + [(100 + i, "\n".join(prose(r, 9))) for i in range(200)], "doc_id long, text string")
+    assert [x.doc_id for x in residue.residue(docs).collect()] == [2]
+
+
 def test_company_changes_nothing():
     rows, _ = corpus(3, 200)
     texts = [residue.plain(t) for _, t in rows]

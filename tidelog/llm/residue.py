@@ -40,7 +40,7 @@ UNIT = 64
 #: Bounds of a gram's ratio; the few fixed words of fields count for more each.
 LEAST, MOST = -4.0, {"field": 8.0, "filler": 5.0, "notice": 5.0}
 SHAPE_MOST = 8.0
-_CHUNK = 1_000_000
+_CHUNK, _OVERLAP = 1_000_000, 256
 #: Between texts, longer than any window reaches.
 _GAP = "\n" * 40
 
@@ -84,6 +84,8 @@ accès refusé. vous n’avez pas l’autorisation. veuillez vous connecter. veu
 veuillez activer javascript. veuillez activer javascript pour afficher l’arrêt. veuillez activer javascript pour continuer. javascript est désactivé. cette page nécessite javascript. votre navigateur ne prend pas en charge les scripts. votre navigateur ne prend pas en charge javascript. veuillez accepter les cookies. les cookies sont désactivés. vérification de votre navigateur.""".split("\n")
 
 
+#: Stands for each character of a quotation.
+_HIDDEN = "\ue001"
 #: Stands for a name in the seeds of the character model, which is to know the words around it only.
 _ANY = "\ue000"
 #: What may stand around a field.
@@ -161,14 +163,20 @@ def shape(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind == 1, np.uint32(ord("a")), np.where(kind == 2, np.uint32(ord("1")), c[at])), at
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[list[int], str]]:
-    """Lists of row numbers with their joined texts, at most about _CHUNK characters; a longer text in overlapping parts."""
+def hide(text: str) -> str:
+    """A plain text with each quotation as a run of _HIDDEN."""
+    if not any(q in text for q in "“„«»\""):
+        return text
+    return _QUOTES.sub(lambda m: _HIDDEN * len(m[0]), text)
+
+
+def _pieces(texts: list[str], overlap: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers with their texts, at most about _CHUNK characters at a time; a longer text in parts that overlap."""
     rows: list[int] = []
     held: list[str] = []
     size = 0
     for i, t in enumerate(texts):
-        step = _CHUNK - 2 * max(WINDOWS)
-        parts = [t] if len(t) <= _CHUNK else [t[k : k + _CHUNK] for k in range(0, len(t), step)]
+        parts = [t] if len(t) <= _CHUNK else [t[k : k + _CHUNK] for k in range(0, len(t) - overlap, _CHUNK - overlap)]
         for p in parts:
             if held and size + len(p) > _CHUNK:
                 yield rows, held
@@ -189,7 +197,7 @@ def both_counts(text: str) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(2 << BITS, np.int64)
     for b in slices(batches, 4_000_000):
-        for _, held in _pieces([plain(t) for t in b.column(1).to_pylist() if t]):
+        for _, held in _pieces([plain(t) for t in b.column(1).to_pylist() if t], GRAM - 1):
             total += both_counts(_GAP.join(held))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
@@ -253,17 +261,13 @@ def windows(text: str, model: Model) -> list[tuple[int, int, str, float]]:
 
 def _judge(held: list[str], model: Model, strictness: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text the most by which a window's ratio exceeds ``strictness`` times its threshold (0 if none) and its kind; for each character whether such a window covers it."""
-    joined = _GAP.join([*held, ""])
-    c = codes(joined)
+    c = codes(hide(_GAP.join([*held, ""])))
     ends = np.cumsum([len(t) + len(_GAP) for t in held])
     text_ends = ends - len(_GAP)
     g = grams(c)
     edge = np.zeros(len(c) + 1, np.int32)
     best, kind = np.zeros(len(held), np.int32), np.zeros(len(held), np.int64)
-    quoted = np.zeros(len(c), bool)
-    if any(q in joined for q in "“„«»\""):
-        for m in _QUOTES.finditer(joined):
-            quoted[max(0, m.start() - 1) : m.end()] = True
+    quoted = c == ord(_HIDDEN)
 
     def sweep(r: np.ndarray, at: np.ndarray | None, k: int, lengths: tuple[int, ...], least: float) -> None:
         """Windows over the ratios ``r`` of grams that begin at the characters ``at``.
@@ -321,7 +325,8 @@ def _scorer(model, strictness: float):
         for b in slices(batches, 4_000_000):
             texts = [plain(t) if t else "" for t in b.column(1).to_pylist()]
             chars, best, kinds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.float32), np.zeros(len(texts), np.int64)
-            for rows, held in _pieces(texts):
+            # quotations of a text that is cut into parts are looked for before that
+            for rows, held in _pieces([hide(t) if len(t) > _CHUNK else t for t in texts], _OVERLAP):
                 top, cover, kind = _judge(held, m, strictness)
                 at = 0
                 for i, t, x, k in zip(rows, held, top.tolist(), kind.tolist()):
