@@ -1,7 +1,10 @@
 """That plans are the ones wanted: pushed filters, pruned columns, one scan for a star, no needless shuffles."""
 
+import bisect
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
@@ -62,6 +65,13 @@ def test_quantile_blocks(spark):
     assert skew.quantile_edges(df.limit(0), "t", 4) == []
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 66, 100, 121, 122, 500, 1023])
+def test_block_numbers(spark, n):
+    edges = sorted(random.Random(n).sample(range(10, 5_000), n))
+    got = spark.range(5_010).select("id", skew.block_of("id", edges).alias("b")).collect()
+    assert [r.b for r in sorted(got)] == [bisect.bisect_right(edges, i) for i in range(5_010)]
+
+
 def test_only_hot_groups_take_the_block_path(spark):
     attrs = spark.createDataFrame(brute.attr_rows(), brute.ATTRS)
     even = spark.createDataFrame([brute.datom(i, 8, 4, "x", 20 + i % 7) for i in range(2000)], brute.LOG)

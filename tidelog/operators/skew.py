@@ -50,13 +50,18 @@ def quantile_edges(df: DataFrame, col: str, parts: int) -> list[int]:
 
 
 def block_of(col: str | Column, edges: Sequence[int]) -> Column:
-    """Number of edges that are less than or equal to the value, 0 to len(edges), by binary search."""
-    c = F.col(col) if isinstance(col, str) else col
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(c < F.lit(edges[mid]).cast("long"), search(low, mid)).otherwise(search(mid + 1, high))
+    """Number of edges that are less than or equal to the value, 0 to len(edges).
 
-    return search(0, len(edges))
+    Many edges are looked through in two steps, first every so many-th one, then those after it.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    if not edges:
+        return F.lit(0)
+    numbers = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= c))
+    if len(edges) <= 64:
+        return below(numbers(edges))
+    step = math.isqrt(len(edges))
+    part = below(numbers(edges[step::step]))
+    parts = F.array(*[numbers(edges[i : i + step]) for i in range(0, len(edges), step)])
+    return part * step + below(F.get(parts, part))
