@@ -115,3 +115,23 @@ def test_company_changes_nothing():
     assert [k for k, b in zip(kinds, joint) if b > 0] == [a[2][0] for a in alone if a[0][0] > 0]
     spans = residue.windows(residue.plain("The appeal is dismissed. Please enable JavaScript to view this page. So ordered by the court."), model)
     assert len(spans) == 1 and spans[0][0] <= 25 and 68 <= spans[0][1] <= 85
+
+
+@pytest.mark.parametrize("page", ["502 Bad Gateway", "404 – the requested judgment was not found", "Erreur interne du serveur", "Too many requests"])
+def test_copies_in_a_third_of_the_rows(spark, page):
+    """However many rows hold a page, alone, as a line of a ruling or with another number, it isn't learnt as prose."""
+    r = random.Random(7)
+    rows = [(i, "\n".join(prose(r, r.randint(4, 20)))) for i in range(1200)]
+    copies = [page, page.upper() + "\n", f"{page}\n{{}}", f"{{}}\n{page}", f"{page}. Request 1{{}}7"]
+    rows += [(2000 + i, (f := copies[i % 5]).format(i if "Request" in f else "\n".join(prose(r, 4)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in residue.residue(docs).collect()} == {i for i, _ in rows if i >= 2000}
+
+
+def test_repeated_sentences_count_once(spark):
+    texts = ["An order was made.\nNo costs | Error 2500: internal server error", "Error 71234: internal server error", "error 9: INTERNAL server error\n", "An order was made. Another order", " \n", "Error"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = 1 << residue.BITS
+    got, at = residue.prose_counts(docs)[:size], lambda g: residue.grams(residue.codes(g))[0]
+    assert got[at("inter")] == pytest.approx(1, abs=1e-4) and got[at("order")] == 3 and got[at("no co")] == 1
+    assert np.array_equal(residue.prose_counts(docs.repartition(5)), residue.prose_counts(docs.coalesce(1)))

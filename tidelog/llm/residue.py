@@ -1,7 +1,9 @@
 """Template residue, filler and error pages in place of content, found by character n-gram models.
 
-Models of hashed character 5-grams are fitted: of natural prose from the whole corpus, and of residue
-(unfilled fields, filler, notices of a failing or script-demanding site) from the seed texts below.
+Models of hashed character 5-grams are fitted: of natural prose from the whole corpus, in which a
+repeated sentence that may be residue counts once, so that an error page isn't learnt as prose however
+many rows hold it; and of residue (unfilled fields, filler, notices of a failing or script-demanding site)
+from the seed texts below.
 The log-likelihood ratio of each residue model to prose is added up over windows; a window whose ratio
 exceeds a threshold is residue. Fields have a second model over the shape of the text, in which each
 name is one character, so that any name may stand in a field. Passages in quotation marks are quoted,
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +44,10 @@ UNIT = 64
 LEAST, MOST = -4.0, {"field": 8.0, "filler": 5.0, "notice": 5.0}
 SHAPE_MOST = 8.0
 _CHUNK, _OVERLAP = 1_000_000, 256
+#: At most so many repeated sentences are known, the most frequent ones, each by at most its first _LONGEST characters.
+REPEATED, _LONGEST = 50_000, 2_000
+#: Log-likelihood ratio a gram from which a sentence may be residue as a whole.
+SUSPECT = 1.6
 #: Between texts, longer than any window reaches.
 _GAP = "\n" * 40
 
@@ -88,6 +95,10 @@ veuillez activer javascript. veuillez activer javascript pour afficher l’arrê
 _HIDDEN = "\ue001"
 #: Stands for a name in the seeds of the character model, which is to know the words around it only.
 _ANY = "\ue000"
+#: Stands before each line while sentences are told apart.
+_BREAK = "\ue002"
+#: Stands for a number that may differ between copies; those of three digits name an error.
+_NUMBER, _NUMBERS = "\ue003", re.compile(r"(?<!\d)(?:\d{1,2}|\d{4,})(?!\d)")
 #: What may stand around a field.
 _AROUND = ("{}", "{}.", "{},", "{};", "({})", "a: {}", "a {} a", "{} {}", "[1] {}", "1. {}", "(1) {}", "§ 1 {}", "{} [1]", "{} 1.", "{} (1)", "{}. [1]", "{} — a", "— {} —", "| {} |")
 #: Fixed value: what makes a shape a field's; brackets count if doubled.
@@ -151,6 +162,8 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: For each character below U+0100: 1 for what makes a shape a field's, 2 if it does so doubled, 3 for what a sentence may follow if a space is between.
+_SIGNS = np.array([1 if chr(i) in "{}$#%@<>«»=~" else 2 if chr(i) in "[]_" else 3 if chr(i) in ".!?|\n" else 0 for i in range(0x101)], np.int8)
 
 
 def shape(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,25 +207,97 @@ def both_counts(text: str) -> np.ndarray:
     return np.concatenate([np.bincount(grams(x), minlength=1 << BITS) for x in (c, shape(c)[0])])
 
 
+def lined(text: str) -> str:
+    """A plain text with a _BREAK and a space where a line begins."""
+    return plain(text.replace("\n", f" {_BREAK} ")) if text and not text.isspace() else ""
+
+
+def sentences(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of lined texts, now without breaks and each with a gap behind; where each sentence (or line, or cell between bars) begins, which is the space before it."""
+    c = codes(_GAP.join([*held, ""]))
+    mark = c == ord(_BREAK)
+    keep = ~mark
+    keep[1:][mark[:-1] & (c[1:] == ord(" "))] = False
+    line = np.append(False, ~keep[:-1])[keep]  # the first character of each line
+    c = c[keep]
+    sign = _SIGNS[np.minimum(c, len(_SIGNS) - 1)]
+    begins = np.append(line[1:], False) | np.append(c[1:] == ord("\n"), False)
+    begins[1:] |= sign[:-1] == 3
+    begins &= c == ord(" ")
+    begins[:1] = True
+    return c, np.flatnonzero(begins)
+
+
+def suspects(c: np.ndarray, g: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of the sentences that begin at ``at``, those that would be residue as a whole were all prose improbable, or hold a mark of fields.
+
+    ``most`` has the ratios of that case. The whole sentence counts, so that prose with some words of the
+    seeds isn't suspect. Any sentence that isn't suspect keeps its number in the counts of prose.
+    """
+    total = np.append(0, np.cumsum(most[g]))
+    size = np.maximum(np.diff(np.append(at, len(c))) - (GRAM - 1), 0)
+    begin = np.minimum(at, len(g))
+    ratio = total[np.minimum(begin + size, len(g))] - total[begin]
+    out = (ratio > SUSPECT * UNIT * size) & (ratio > THRESHOLDS["notice"] * UNIT)
+    sign = _SIGNS[np.minimum(c, len(_SIGNS) - 1)]
+    signs = (sign == 1) | (sign == 2) & np.append(False, c[1:] == c[:-1])
+    out[np.searchsorted(at, np.flatnonzero(signs), side="right") - 1] = True
+    return np.flatnonzero(out)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams (without text) and of the suspect sentences (without gram)."""
+    most = fit(np.zeros(2 << BITS)).ratios.max(axis=0).astype(np.int64)
     total = np.zeros(2 << BITS, np.int64)
+    names = ["gram", "sentence", "n"]
     for b in slices(batches, 4_000_000):
-        for _, held in _pieces([plain(t) for t in b.column(1).to_pylist() if t], GRAM - 1):
-            total += both_counts(_GAP.join(held))
+        often: Counter[str] = Counter()
+        for _, held in _pieces([lined(t) for t in b.column(1).to_pylist() if t], GRAM - 1):
+            c, at = sentences(held)
+            g, s = grams(c), shape(c)[0]
+            for i, (x, h) in enumerate(((c, g), (s, grams(s)))):
+                total[i << BITS : (i + 1) << BITS] += np.bincount(h[x[: len(h)] != ord("\n")], minlength=1 << BITS)
+            text, ends = c.tobytes().decode("utf-32-le", "surrogatepass"), np.append(at[1:], len(c))
+            often.update(_NUMBERS.sub(_NUMBER, text[at[i] : min(ends[i], at[i] + _LONGEST)]) for i in suspects(c, g, at, most))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int32()), pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], names)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(total[at])], names)
+
+
+def surplus(texts: list[str], n: np.ndarray) -> np.ndarray:
+    """What the sentences add to the counts beyond one each, where they come ``n`` times; grams at a number that may differ add nothing."""
+    c, length = codes(_GAP.join([*texts, ""])), [len(t) + len(_GAP) for t in texts]
+    weight = np.repeat(n - 1.0, length)
+    s, at = shape(np.where(c == ord(_NUMBER), np.uint32(ord("0")), c))
+    out = np.zeros(2 << BITS)
+    for i, (x, w) in enumerate(((c, weight), (s, weight[at]))):
+        g = grams(x)
+        bad = np.isin(x, [ord("\n"), ord(_NUMBER)])
+        w = np.where(np.logical_or.reduce([bad[k : k + len(g)] for k in range(GRAM)]), 0, w[: len(g)])
+        out[i << BITS : (i + 1) << BITS] = np.bincount(g, w, 1 << BITS)
+    return out
 
 
 def prose_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of all 5-grams of all texts and of their shapes by hash: 2^(BITS+1) numbers, however large the corpus."""
-    rows = docs.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    counts = spread(rows).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    # one row per hash, seen or not, so what comes to the driver has the same size whatever the corpus
-    every = docs.sparkSession.range(2 << BITS).select(F.col("id").cast("int").alias("gram"))
-    got = every.join(counts, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
+    """Counts of the 5-grams of all texts and of their shapes by hash, where each repeated suspect sentence counts once: 2^(BITS+1) numbers, however large the corpus.
+
+    Those are the sentences with more than 1/REPEATED of the repeated ones' number, so at most REPEATED
+    at any size; with fewer repeated sentences than that, all.
+    """
+    rows = spread(docs.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()))
+    counts = rows.mapInArrow(_count, "gram int, sentence string, n long").groupBy("gram", "sentence").agg(F.sum("n").alias("n")).persist()
+    try:
+        # one row per hash, seen or not, so what comes to the driver has the same size whatever the corpus
+        every = docs.sparkSession.range(2 << BITS).select(F.col("id").cast("int").alias("gram"))
+        got = every.join(counts.where(F.col("gram").isNotNull()), "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
+        many = counts.where(F.col("gram").isNull() & (F.col("n") > 1)).select("sentence", "n")
+        number = many.agg(F.sum("n")).first()[0] or 0
+        often = many.where(F.col("n") > number / REPEATED).toArrow()
+    finally:
+        counts.unpersist()
     out = np.zeros(2 << BITS, np.float64)
     out[got["gram"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return np.maximum(out - surplus(often["sentence"].to_pylist(), often["n"].to_numpy()), 0) if len(often) else out
 
 
 @dataclass
@@ -351,7 +436,8 @@ def residue(docs: DataFrame, id: str = "doc_id", text: str = "text", least_cover
     kind is that of the strongest window, excess by how much it passes its threshold; ``strictness``
     multiplies the thresholds. Null, empty and
     blank texts have none; repeated rows are judged each; other columns are ignored. The corpus is read
-    twice and not shuffled but for the 2^(BITS+1) counts of each task; the model has that size at any scale.
+    twice and not shuffled but for the distinct suspect sentences and the 2^(BITS+1) counts of each task;
+    the model has that size at any scale.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(prose_counts(docs, text)))
     kind = docs.schema[id].dataType.simpleString()
