@@ -80,3 +80,12 @@ def test_incremental_table_survives_failures(spark, tmp_path):
     gone = final.where(incremental.bucket_of("k", 8) != 2)
     assert table.run("r6", gone, compute) == [2]
     same(gone)
+
+
+def test_replay_reads_the_deliveries_once(spark):
+    """No join of the deliveries with themselves that keeps every row."""
+    rows = spark.createDataFrame([(1, 1, "{}", datetime(2020, 1, 1))], "tx_id long, n_datoms long, temp_ids string, arrived_at timestamp")
+    runs = spark.createDataFrame([(1, datetime(2020, 1, 2), "succeeded")], "run_id long, cut_at timestamp, status string")
+    got = incremental.result_changes(rows, runs)
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(x) for x in got.collect()] == [(1, 1)]

@@ -111,7 +111,7 @@ def next_cut(rows: DataFrame, at: str, cuts: DataFrame) -> DataFrame:
     return placed.withColumn("cut", inside).where(F.col("cut").isNotNull()).drop("day", "cuts", "following")
 
 
-def changes_by_run(deliveries: DataFrame, runs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def changes_by_run(deliveries: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, key): for each run, the keys whose content is new or another than at the run before.
 
     ``deliveries`` (key, content, at): the content of a key as of a time is that of its latest delivery
@@ -119,16 +119,14 @@ def changes_by_run(deliveries: DataFrame, runs: DataFrame, buckets: int = BUCKET
     was there at its cut. Deliveries without a key or time, and those after the last cut, give nothing;
     repeated rows change nothing; without runs there are no rows.
 
-    Fingerprints per (bucket, cut), of the deliveries between a cut and the one before, say which
-    partitions a run has to look at. Within them, the deliveries are reduced to one content per key and
-    cut before a key's cuts are compared, so a key has at most as many rows as there are runs.
+    The deliveries are reduced to one content per key and cut before a key's cuts are compared, so a key
+    has at most as many rows as there are runs. No fingerprints are used: with all runs replayed at once,
+    a bucket's fingerprint at a cut can only be had from each key's content there and at the cut before,
+    which is the comparison itself.
     """
     cuts = runs.where(F.col("cut").isNotNull()).select("cut", "run_id").groupBy("cut").agg(F.min("run_id").alias("run_id"))
     rows = deliveries.select("key", "content", "at").where(F.col("key").isNotNull() & F.col("at").isNotNull())
-    placed = next_cut(rows, "at", cuts.select("cut")).withColumn("bucket", bucket_of("key", buckets))
-    prints = fingerprints(placed, ["bucket", "cut"], ["key", "content"])
-    todo = prints.where(F.col("n") > 0).select("bucket", "cut")
-    placed = placed.join(todo, ["bucket", "cut"], "left_semi")
+    placed = next_cut(rows, "at", cuts.select("cut"))
     last = placed.groupBy("key", "cut").agg(F.max(F.struct("at", "content")).alias("x")).select("key", "cut", F.col("x.content").alias("content"))
     before = F.lag("content").over(Window.partitionBy("key").orderBy("cut"))
     first = F.row_number().over(Window.partitionBy("key").orderBy("cut")) == 1
