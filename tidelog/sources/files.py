@@ -34,6 +34,10 @@ class Folder:
         finally:
             stream.close()
 
+    def remove(self, name: str) -> None:
+        """Removes a file or a folder with all in it."""
+        self._fs.delete(self._path(name), True)
+
     def create(self, name: str, text: str) -> bool:
         """Writes a file that readers see whole or not at all; False if there is one of this name."""
         new = self._path(f"_new-{uuid.uuid4().hex}")
