@@ -15,7 +15,7 @@ from tidelog.plans.edn import parse
 from tidelog.plans.planner import Database
 from tidelog.plans.query import InvalidFindVariable, Query, QueryError
 from tidelog.sources.files import ConcurrentWriter
-from tidelog.sources.log import MemoryLog, ParquetLog
+from tidelog.sources.log import FrameLog, MemoryLog, ParquetLog
 from tidelog.sources.schema import AttributeDefinition as Def
 from tidelog.sources.schema import Catalog, IdentNotFound, bootstrap_rows
 
@@ -290,6 +290,67 @@ def test_files(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(a" in plan and "(a#" in plan
 
 
+@pytest.mark.parametrize("kind", ["memory", "files", "frame"])
+def test_a_log_is_a_set(spark, tmp_path, kind):
+    """A datom that is written again changes nothing: within a save, in a later one, asserts and retracts, with and without a basis."""
+    log = MemoryLog(spark, bootstrap=False) if kind == "memory" else ParquetLog(spark, str(tmp_path / "log"))
+    one, two, gone, back = (V.datom(100, 50, V.value("x"), t, op) for t, op in ((10, 0), (11, 0), (12, 1), (13, 0)))
+    log.save([one, one, two])
+    assert log.find(a=50).count() == 2
+    log.save([one])
+    if kind == "frame":
+        log = FrameLog(log.frame().union(log.frame()))
+    assert log.find(a=50).count() == 2 and log.find(a=50, kind=V.STR).count() == 2 and log.find(a=50, kind=V.I64).count() == 0
+    if kind == "frame":
+        return
+    log.save([gone, gone, back, back])
+    assert [r.tx for r in log.find(a=50).collect()] == [13] and log.find(a=50, basis=11).count() == 2 and log.find(a=50, basis=12).count() == 0
+    if kind == "files":
+        assert not log.is_set()
+        log.compact()
+        assert log.is_set() and log.find(a=50, basis=11).count() == 2
+
+
+def test_a_fact_given_twice_is_one_datom(sut):
+    r = sut.run(Op.on_temp_id("j").assert_("person/likes", "Tea").assert_("person/likes", "Tea"))
+    assert len(r.tx_data) == 2 and sut.rows("[:find (count) :where [_ :person/likes _]]") == [(1,)]
+
+
+def test_an_attribute_with_most_rows_is_written_by_many_tasks(spark, tmp_path):
+    log = ParquetLog(spark, str(tmp_path / "log"))
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, 100).otherwise(F.col("id")).alias("e"), F.when(F.col("id") % 20 == 0, 51).otherwise(50).cast("long").alias("a"), F.lit(1).cast("tinyint").alias("vt"), F.col("id").alias("v_i64"), F.lit(None).cast("decimal(20,0)").alias("v_u64"),
+        F.lit(None).cast("decimal(38,18)").alias("v_dec"), F.lit(None).cast("string").alias("v_str"), F.lit(None).cast("long").alias("v_ref"), F.lit(9).cast("long").alias("tx"), F.lit(0).cast("tinyint").alias("op"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log.save(rows.union(rows))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in log.folder.names(f"{log.parts()[-1]}/a=50") if f.endswith(".parquet")]
+    assert len(files) >= 3 and log.frame().where("a >= 50").count() == 40_000
+    sizes = [spark.read.parquet(log.folder.at(f"{log.parts()[-1]}/a=50/{f}")).count() for f in files]
+    assert max(sizes) < 20_000
+
+
+def test_manifests_by_difference_and_compaction_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidelog.sources.log._PARTS_A_VERSION", 3)
+    path = str(tmp_path / "log")
+    log = ParquetLog(spark, path)
+    for i in range(8):
+        log.save([V.datom(100 + i, 50, V.i64(i), 10 + i)])
+        assert {r.e for r in ParquetLog(spark, path).find(a=50).collect()} == {100 + k for k in range(i + 1)}
+        assert len(log.versions.read(log.version)["parts"]) <= 3 or log.versions.read(log.version)["since"] is None
+    log = ParquetLog(spark, path)  # goes on from a version with a difference
+    log.save([V.datom(200, 50, V.i64(0), 30)])
+    assert log.parts() == ParquetLog(spark, path).parts() and len(log.parts()) == 10
+    log.compact(most_rows=5)  # all but the bootstrap
+    assert len(log.parts()) == 2 == len(ParquetLog(spark, path).parts()) and log.is_set()
+    assert log.find(a=50).count() == 9 and log.latest_entity_id() == 200
+    with pytest.raises(ConcurrentWriter):
+        log.versions.publish(log.version, {})
+
+
 STORAGE = {
     "by e, a, v": ([(100, 101, 102, 103, 0)], dict(e=100, a=101, v=V.u64(102)), {(100, 101, 102)}),
     "by e": ([(100, 101, 1, 1000, 0), (100, 102, 2, 1000, 0)], dict(e=100), {(100, 101, 1), (100, 102, 2)}),

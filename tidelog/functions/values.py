@@ -123,3 +123,21 @@ def dynamic(tag: int, c: Column) -> Column:
 def row_text(row: tuple) -> str:
     """A collected row of values as text, like [Str("Abbey Road"), U64(2)]."""
     return "[" + ", ".join(map(str, row)) + "]"
+
+
+def text_column(tag: int | None, c: Column) -> Column:
+    """A column of values of one type, or of dynamic ones (tag None), as text like Str("Abbey Road")."""
+    if tag is None:
+        out = F.lit(str(Value(NIL)))
+        for t, lane in LANES.items():
+            out = F.when(c["vt"] == t, text_column(t, c[lane])).otherwise(out)
+        return out
+    x = c.cast("string")
+    if tag == STR:
+        x = F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.coalesce(F.concat(F.lit(f"{NAMES[tag]}("), x, F.lit(")")), F.lit(str(Value(NIL))))
+
+
+def row_text_column(columns: list[tuple[int | None, Column]]) -> Column:
+    """A row of values as text, as row_text gives it, without leaving the executors."""
+    return F.concat(F.lit("["), F.concat_ws(", ", *[text_column(t, c) for t, c in columns]), F.lit("]"))

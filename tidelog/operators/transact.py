@@ -10,7 +10,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,7 +111,7 @@ def transact(log: DatomLog, tx: Transaction, now: int | None = None, strict_uniq
     operations, then those of new entities. Everything is judged by the log before the transaction,
     temp ids and uniqueness within the transaction aside. A one-valued attribute that is touched, by a
     retract as well, has all its current values retracted, even if one is asserted again; two values
-    asserted in one transaction both stay. A unique value may be retracted, and asserted again for the
+    asserted in one transaction both stay; a change that is given twice is one. A unique value may be retracted, and asserted again for the
     entity that has it; ``strict_unique`` refuses both.
     """
     next_id = log.latest_entity_id()
@@ -156,7 +156,7 @@ def transact(log: DatomLog, tx: Transaction, now: int | None = None, strict_uniq
     given = {r[:8] for r in rows if r[9] == RETRACT}
     for key in dict.fromkeys((e, a.id) for e, a, _, _ in facts if (e, a.id) in touched):
         rows += [r[:8] + (tx_id, RETRACT) for r in dict.fromkeys(r[:8] for r in old.get(key, [])) if r not in given]
-    return Result(tx_id, rows, temp_ids)
+    return Result(tx_id, list(dict.fromkeys(rows)), temp_ids)
 
 
 def _check_unique(log: DatomLog, facts: list[tuple], strict: bool) -> None:
@@ -194,57 +194,105 @@ class Connection:
 OPERATIONS = "op_no long, entity_kind string, entity_id long, temp_id string, attr string, vt tinyint, v_i64 long, v_u64 decimal(20,0), v_dec decimal(38,18), v_str string, v_ref long, ref_temp_id string, op tinyint"
 
 
-def _any(df: DataFrame, error: type[TransactionError], what: Column) -> None:
-    bad = df.select(what.alias("x")).limit(3).collect()
-    if bad:
-        raise error(", ".join(str(r.x) for r in bad))
+#: The rules that operations can break, in the order in which they are judged.
+RULES: list[tuple[str, type[TransactionError]]] = [
+    ("name", ResolveError), ("temp id twice", DuplicateTempId), ("temp id missing", TempIdNotFound), ("type", InvalidAttributeType), ("unique in transaction", DuplicateUniqueValue), ("unique in log", DuplicateUniqueValue),
+]
 
 
-def bulk_transact(log: DatomLog, operations: DataFrame, now: int) -> tuple[int, DataFrame, DataFrame]:
-    """One transaction of any size: (tx id, its datoms, temp ids) from a table of operations (see OPERATIONS).
+@dataclass(frozen=True)
+class Resolved:
+    """Operations with their entities, attributes and references as ids, and the new temp ids (temp_id, id)."""
 
-    Rows with the same op_no speak about one entity: by id, by temp id, or a new one. The rules are those
-    of ``transact``; whatever breaks one raises and leaves the log as it was. All steps are joins and
-    aggregates; only the catalog, the transaction's id and up to three offenders come to the driver.
-    Ids are numbered by a window over the distinct new entities only.
+    tx: int
+    rows: DataFrame
+    temp_ids: DataFrame
+
+
+def resolve_operations(log: DatomLog, operations: DataFrame) -> Resolved:
+    """Gives ids to new entities and temp ids; judges nothing yet.
+
+    The rows are written to the checkpoint folder, so that what is judged is what is returned, and worked
+    out once.
+
+    The rows have op_no, e, a, the value, tx, op, attr, decl, card, uniq, temp_id and ref_temp_id; an
+    unknown name has no a, an unknown temp id gives no v_ref.
     """
     spark = operations.sparkSession
     catalog = log.catalog()
     known = spark.createDataFrame([(x.ident, x.id, x.type, x.card, x.unique) for x in catalog.by_ident.values()], "attr string, a long, decl int, card int, uniq boolean")
     tx = log.latest_entity_id() + 1
-    ops = operations.join(F.broadcast(known), "attr", "left")
-    _any(ops.where(F.col("a").isNull()), ResolveError, F.col("attr"))
-    temps = operations.where(F.col("entity_kind") == "temp_id").groupBy("temp_id").agg(F.min("op_no").alias("op_no"), F.countDistinct("op_no").alias("n"))
-    _any(temps.where(F.col("n") > 1), DuplicateTempId, F.col("temp_id"))
+    temps = operations.where(F.col("entity_kind") == "temp_id").groupBy("temp_id").agg(F.min("op_no").alias("op_no"))
     new = operations.where(F.col("entity_kind") == "new").select(F.lit(1).alias("last"), "op_no", F.lit(None).cast("string").alias("temp_id")).distinct()
     made = temps.select(F.lit(0).alias("last"), "op_no", "temp_id").unionByName(new)
     made = _numbered(made, ["last", "op_no"], tx + 1)
     ids = made.where(F.col("last") == 0).select("temp_id", F.col("n").alias("id"))
     news = made.where(F.col("last") == 1).select("op_no", F.col("n").alias("new_id"))
+    ops = operations.join(known, "attr", "left")  # Spark broadcasts the catalog while it is under the session's threshold
     ops = ops.join(ids.withColumnRenamed("id", "temp_e"), "temp_id", "left").join(news, "op_no", "left")
     ops = ops.join(ids.select(F.col("temp_id").alias("ref_temp_id"), F.col("id").alias("ref_e")), "ref_temp_id", "left")
-    _any(ops.where(F.col("ref_temp_id").isNotNull() & F.col("ref_e").isNull()), TempIdNotFound, F.col("ref_temp_id"))
     by_name = F.col("ref_temp_id").isNotNull()
     e = F.when(F.col("entity_kind") == "id", F.col("entity_id")).when(F.col("entity_kind") == "temp_id", F.col("temp_e")).otherwise(F.col("new_id"))
     rows = ops.select(
-        e.alias("e"), "a", F.when(by_name, F.lit(REF_TAG)).otherwise(F.col("vt")).cast("tinyint").alias("vt"), "v_i64", "v_u64", "v_dec", "v_str",
-        F.when(by_name, F.col("ref_e")).otherwise(F.col("v_ref")).alias("v_ref"), F.lit(tx).cast("long").alias("tx"), F.col("op").cast("tinyint").alias("op"), "attr", "decl", "card", "uniq",
+        "op_no", e.alias("e"), "a", F.when(by_name, F.lit(REF_TAG)).otherwise(F.col("vt")).cast("tinyint").alias("vt"), "v_i64", "v_u64", "v_dec", "v_str", F.when(by_name, F.col("ref_e")).otherwise(F.col("v_ref")).alias("v_ref"),
+        F.lit(tx).cast("long").alias("tx"), F.col("op").cast("tinyint").alias("op"), "attr", "decl", "card", "uniq", F.when(F.col("entity_kind") == "temp_id", F.col("temp_id")).alias("temp_id"), "ref_temp_id",
     )
-    _any(rows.where(F.col("vt") != F.col("decl")), InvalidAttributeType, F.col("attr"))
+    return Resolved(tx, cut_lineage(rows), ids)
+
+
+def violations(log: DatomLog, resolved: Resolved) -> DataFrame:
+    """(rule, op_no, what): each operation that breaks a rule of RULES, with the name or temp id that does.
+
+    An operation may break several; repeated operations are one. A value that is given twice for a unique
+    attribute refuses both operations.
+    """
+    rows = resolved.rows
+    out = []
+
+    def broken(rule: str, bad: DataFrame, what: str = "attr") -> None:
+        out.append(bad.select(F.lit(rule).alias("rule"), "op_no", F.col(what).alias("what")))
+
+    broken("name", rows.where(F.col("a").isNull()))
+    twice = rows.where(F.col("temp_id").isNotNull()).groupBy("temp_id").agg(F.min("op_no").alias("x"), F.max("op_no").alias("y")).where("x <> y").select("temp_id")
+    broken("temp id twice", rows.join(twice, "temp_id", "left_semi"), "temp_id")
+    broken("temp id missing", rows.where(F.col("ref_temp_id").isNotNull() & F.col("v_ref").isNull()), "ref_temp_id")
+    broken("type", rows.where(F.col("vt") != F.col("decl")))
     lanes = ["a", "vt", *LANES.values()]
-    unique = rows.where(F.col("uniq") & (F.col("op") == ASSERT))
-    _any(unique.groupBy(*lanes, "attr").count().where("count > 1"), DuplicateUniqueValue, F.col("attr"))
-    before = log.frame()
-    same = reduce(lambda x, y: x & y, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in lanes])
-    holders = visible(before, None, F.col("a").isin([x.id for x in catalog.by_id.values() if x.unique]))
-    _any(unique.alias("n").join(holders.alias("o"), same & (F.col("n.e") != F.col("o.e")), "left_semi"), DuplicateUniqueValue, F.col("attr"))
+    unique = rows.where(F.col("uniq") & (F.col("op") == ASSERT)).select("op_no", "e", "attr", F.struct(*lanes).alias("fact")).distinct()
+    # one row for each value, so that no copy meets every other one
+    often = unique.groupBy("fact").agg(F.min("op_no").alias("x"), F.max("op_no").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y or n > 1").select("fact")
+    broken("unique in transaction", unique.join(often, "fact", "left_semi"))
+    of = [x.id for x in log.catalog().by_id.values() if x.unique]
+    held = visible(log.frame(), None, F.col("a").isin(of), log.has_retracts(None), log.is_set()).groupBy(F.struct(*lanes).alias("fact")).agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
+    broken("unique in log", unique.join(held, "fact").where((F.col("lo") != F.col("e")) | (F.col("hi") != F.col("e"))))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def bulk_transact(log: DatomLog, operations: DataFrame, now: int) -> tuple[int, DataFrame, DataFrame]:
+    """One transaction of any size: (tx id, its datoms, temp ids) from a table of operations (see OPERATIONS).
+
+    Rows with the same op_no speak about one entity: by id, by temp id, or a new one. The rules are those
+    of ``transact``; whatever breaks one raises and leaves the log as it was. All steps are joins and
+    aggregates; only the catalog, the transaction's id and up to three offenders come to the driver.
+    """
+    resolved = resolve_operations(log, operations)
+    number = F.create_map(*[F.lit(x) for i, (rule, _) in enumerate(RULES) for x in (rule, i)])[F.col("rule")]
+    bad = violations(log, resolved).orderBy(number, "op_no").limit(3).collect()
+    if bad:
+        raise dict(RULES)[bad[0].rule](", ".join(str(r.what) for r in bad if r.rule == bad[0].rule))
+    return resolved.tx, datoms_of(log, resolved, now), resolved.temp_ids
+
+
+def datoms_of(log: DatomLog, resolved: Resolved, now: int) -> DataFrame:
+    """The datoms of operations that break no rule: what they say, the retracts of what they replace, and the transaction's time."""
+    rows, tx, spark = resolved.rows, resolved.tx, resolved.rows.sparkSession
     touched = rows.where(F.col("card") == ONE).select("e", "a").distinct()
-    ended = visible(before, None, F.col("a").isin([x.id for x in catalog.by_id.values() if x.card == ONE])).join(touched, ["e", "a"], "left_semi")
+    one = [x.id for x in log.catalog().by_id.values() if x.card == ONE]
+    ended = visible(log.frame(), None, F.col("a").isin(one), log.has_retracts(None), log.is_set()).join(touched, ["e", "a"], "left_semi")
     ended = ended.withColumn("tx", F.lit(tx).cast("long")).withColumn("op", F.lit(RETRACT).cast("tinyint"))
     time_row = spark.createDataFrame([datom(tx, TX_TIME, u64(now), tx)], LOG_SCHEMA)
     names = LOG_SCHEMA.names
-    data = rows.select(*names).unionByName(ended.select(*names)).unionByName(time_row).distinct()
-    return tx, data, ids
+    return rows.select(*names).unionByName(ended.select(*names)).unionByName(time_row).distinct()
 
 
 def _numbered(df: DataFrame, order: list[str], start: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,13 +43,21 @@ class Database:
         base = [Attribute(i, ident, tag, ONE, unique, 0) for i, ident, tag, _, unique in BOOTSTRAP]
         self.catalog = Catalog([*base, *own, *(a for t in self.tables for a in t.attributes())])
         self.table_of = {a.id: t for t in self.tables for a in t.attributes()}
-        self.described = FrameLog(self.tables[0].frame.sparkSession.createDataFrame([r for t in self.tables for r in t.schema_rows()], V.LOG_SCHEMA)) if self.tables else None
+        self.described = FrameLog(self.tables[0].frame.sparkSession.createDataFrame([r for t in self.tables for r in t.schema_rows()], V.LOG_SCHEMA), distinct=True) if self.tables else None
 
     def query(self, query: Query, distinct: bool = False) -> DataFrame:
         """The solutions, a bag unless ``distinct``, as a DataFrame with one column per found element."""
         out = Planner(self, query).plan()
         return out.distinct() if distinct else out
 
+    def texts(self, query: Query) -> DataFrame:
+        """The solutions of a query without aggregates as text, one column ``row``."""
+        planner = Planner(self, query)
+        if not all(isinstance(x, str) for x in query.found):
+            raise QueryError("only variables are printed by type")
+        s = planner.joined()
+        return s.frame.select(V.row_text_column([(s.types[n], F.col(planner.columns[n])) for n in query.found]).alias("row"))
+
     def q(self, text: str, distinct: bool = False) -> DataFrame:
         """The same from EDN text."""
         from tidelog.plans.edn import parse
@@ -144,9 +153,9 @@ class Planner:
         if isinstance(c.v, Constant):
             v = V.declared(c.v.content, kind) if kind is not ANY else V.value(c.v.content)
         tx = int(c.tx.content) if isinstance(c.tx, Constant) else None
-        frames = [log.find(e, a_id, v, tx, self.db.basis)] if log is not None else []
+        frames = [log.find(e, a_id, v, tx, self.db.basis, kind)] if log is not None else []
         if self.db.described is not None and (a_id is None or IDENT <= a_id <= UNIQUE):
-            frames.append(self.db.described.find(e, a_id, v, tx, self.db.basis))
+            frames.append(self.db.described.find(e, a_id, v, tx, self.db.basis, kind))
         if a_id is None:
             for t in self.db.tables:
                 if self.db.basis is None or self.db.basis >= t.import_tx:
@@ -165,7 +174,8 @@ class Planner:
         ):
             if isinstance(p, Variable):
                 bound.setdefault(p.name, []).append((tag, x))
-        where = [F.col("vt") == kind] if kind is not ANY else []
+        # a row of a type without a value of it is no fact
+        where = [F.col("vt") == kind, F.col(V.LANES[kind]).isNotNull()] if kind is not ANY else []
         return self._scan(frame, bound, where, sum(isinstance(p, Constant) for p in (c.e, c.v, c.tx)) + (a_id is not None))
 
     def _scan(self, frame: DataFrame, bound: dict[str, list[tuple[int | None, Column]]], where: list[Column], weight: int) -> Scan:
@@ -293,7 +303,13 @@ def condition(t: Test, cols: list[Column], tags: list[int | None]) -> Column:
         return t.condition(*cols)
     f = t.condition
 
-    def run(row):
-        return bool(f(*[V.value_of(tuple(x)) if g is ANY else V.Value(g, int(x) if g == V.U64_TAG else x) for x, g in zip(row, tags)]))
+    def read(column, tag: int | None) -> list[V.Value]:
+        if tag is ANY:
+            return [V.value_of(tuple(x.values())) for x in column.to_pylist()]
+        return [V.Value(tag, int(x) if tag == V.U64_TAG and x is not None else x) for x in column.to_pylist()]
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([bool(f(*xs)) for xs in zip(*map(read, columns, tags))], pa.bool_())
 
-    return F.udf(run, T.BooleanType())(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(cols)]))
+    # whole Arrow batches of the lanes; only the values of a variable attribute travel as structs
+    return F.arrow_udf(run, T.BooleanType())(*cols)

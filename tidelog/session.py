@@ -1,20 +1,22 @@
-"""Things that depend on the session: the folder for checkpoints, and size-checked broadcasts."""
+"""Things that depend on the session: the folder for checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors, as the session names it.
 
-    Only where none is set, as in tests on one machine, a temporary folder is taken.
+    Where none is set, a temporary folder is taken if all of Spark runs in one process, as in tests; on a
+    cluster, where executors could not reach each other's, that is an error.
     """
     set_dir = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(set_dir)
@@ -25,8 +27,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder and goes on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_up_to(df: DataFrame, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

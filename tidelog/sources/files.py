@@ -1,9 +1,16 @@
-"""Small files beside the data, on whatever file system the session reaches (local, HDFS, object stores)."""
+"""Small files beside the data, on whatever file system the session reaches.
+
+That a file appears whole or not at all, and that of two writers one is refused, needs a file system that
+links or renames atomically without replacing: local disks and HDFS do. Object stores copy on a rename, so
+there only one process may write at a time.
+"""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -39,17 +46,24 @@ class Folder:
         self._fs.delete(self._path(name), True)
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a file that readers see whole or not at all; False if there is one of this name."""
+        """Writes a file that readers see whole or not at all (see above); False if there is one of this name."""
         new = self._path(f"_new-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
         final = self._path(name)
         self._fs.mkdirs(final.getParent())
-        if not self._fs.exists(final) and self._fs.rename(new, final):
-            return True
-        self._fs.delete(new, False)
-        return False
+        if self._fs.getScheme() == "file":  # a rename would replace; a second link to the file is refused if the name is taken
+            try:
+                os.link(*(unquote(self._fs.makeQualified(p).toUri().getPath()) for p in (new, final)))
+                done = True
+            except FileExistsError:
+                done = False
+        else:
+            done = not self._fs.exists(final) and self._fs.rename(new, final)
+        if self._fs.exists(new):
+            self._fs.delete(new, False)
+        return done
 
 
 class ConcurrentWriter(Exception):
@@ -59,8 +73,8 @@ class ConcurrentWriter(Exception):
 class Versions:
     """Numbered versions of a small JSON state; the greatest number counts.
 
-    A version is a file of its own that is renamed into place, so publishing is atomic, replaces nothing,
-    and fails if another writer was first.
+    A version is a file of its own that is linked or renamed into place, so publishing is atomic, replaces
+    nothing, and fails if another writer was first.
     """
 
     def __init__(self, folder: Folder, name: str):
@@ -71,7 +85,11 @@ class Versions:
         known = [n for n in self.folder.names(self.name) if n.endswith(".json")]
         if not known:
             return 0, None
-        return int(known[-1].removesuffix(".json")), json.loads(self.folder.read(f"{self.name}/{known[-1]}"))
+        number = int(known[-1].removesuffix(".json"))
+        return number, self.read(number)
+
+    def read(self, number: int) -> dict:
+        return json.loads(self.folder.read(f"{self.name}/{number:012d}.json"))
 
     def publish(self, number: int, state: dict) -> None:
         if not self.folder.create(f"{self.name}/{number:012d}.json", json.dumps(state)):

@@ -1,4 +1,4 @@
-"""The append-only log of datoms: in memory, or as Parquet files with an atomically replaced manifest."""
+"""The append-only log of datoms, a set of rows: in memory, or as Parquet files with an atomically replaced manifest."""
 
 from __future__ import annotations
 
@@ -13,28 +13,37 @@ from tidelog.sources.files import Folder, Versions
 from tidelog.sources.schema import Catalog, bootstrap_rows
 
 _SCHEMA_ATTRIBUTES = (1, 2, 3, 4, 5)
+#: Parts that versions of a manifest name beside the last complete one; rows of a file at most.
+_PARTS_A_VERSION, _ROWS_A_FILE = 64, 5_000_000
 
 
-def visible(log: DataFrame, basis: int | None, where: Column | None = None, retracts: bool = True) -> DataFrame:
-    """Asserts up to ``basis`` that no later retract of the same fact, also up to it, has ended.
+def visible(log: DataFrame, basis: int | None, where: Column | None = None, retracts: bool = True, distinct: bool = False, kind: int | None = None) -> DataFrame:
+    """Asserts up to ``basis`` that no later retract of the same fact, also up to it, has ended; each once.
 
-    ``where`` may restrict e, a and the value; it is applied to both sides, so it reaches both scans.
-    The retracts are reduced to the latest of each fact first, so a fact meets one row at most. With
-    ``retracts`` False the caller knows that there are none.
+    A log is a set: a datom counts once, however often it was written. ``where`` may restrict e, a and the
+    value, ``kind`` the type of the values, so that only its lane is read; both are applied to asserts and
+    retracts and reach the scans. The retracts are reduced to the latest of each fact first, so a fact
+    meets one row at most. Repeats are removed by the columns that this join is by and tx, so where it
+    shuffles they need no shuffle of their own. With ``retracts`` False the caller knows that there are
+    none, with ``distinct`` that no row is repeated.
     """
     if where is not None:
         log = log.where(where)
+    if kind is not None:
+        log = log.where(F.col("vt") == kind)
     if basis is not None:
         log = log.where(F.col("tx") <= basis)
-    asserts = log.where(F.col("op") == ASSERT)
-    if not retracts:
-        return asserts
-    fact = ["e", "a", "vt", *LANES.values()]
-    ends = log.where(F.col("op") == RETRACT).groupBy(*[F.col(c).alias(f"_{c}") for c in fact]).agg(F.max("tx").alias("_tx"))
-    same = F.col("_tx") > F.col("tx")
-    for c in fact:
-        same = same & (F.col(c).eqNullSafe(F.col(f"_{c}")) if c in LANES.values() else F.col(c) == F.col(f"_{c}"))
-    return asserts.join(ends, same, "left_anti")
+    # one struct, in which nulls are equal to each other
+    lanes = list(LANES.values()) if kind is None else [LANES[kind]]
+    rows = log.select("e", "a", F.struct("vt", *lanes).alias("_v"), "tx", "op")
+    out = rows.where(F.col("op") == ASSERT).drop("op")
+    if retracts:
+        ends = rows.where(F.col("op") == RETRACT).groupBy(F.col("e").alias("_e"), F.col("a").alias("_a"), F.col("_v").alias("_w")).agg(F.max("tx").alias("_end"))
+        out = out.join(ends, (F.col("e") == F.col("_e")) & (F.col("a") == F.col("_a")) & (F.col("_v") == F.col("_w")) & (F.col("_end") > F.col("tx")), "left_anti")
+    if not distinct:
+        out = out.distinct()
+    cells = [F.col(f"_v.{n}") if n in lanes else F.lit(None).cast(LOG_SCHEMA[n].dataType).alias(n) for n in LANES.values()]
+    return out.select("e", "a", F.col("_v.vt"), *cells, "tx", F.lit(ASSERT).cast("tinyint").alias("op"))
 
 
 def restriction(e: int | None = None, a: int | None = None, v: Value | None = None) -> Column | None:
@@ -67,13 +76,19 @@ class DatomLog:
         """Whether the attribute, or any if None, may have retracts."""
         return True
 
-    def find(self, e: int | None = None, a: int | None = None, v: Value | None = None, tx: int | None = None, basis: int | None = None) -> DataFrame:
-        """The visible datoms with the given parts; ``tx`` and ``basis`` both apply."""
-        out = visible(self.frame(), basis, restriction(e, a, v), self.has_retracts(a))
+    def is_set(self) -> bool:
+        """Whether no row of ``frame`` can be there twice."""
+        return False
+
+    def find(self, e: int | None = None, a: int | None = None, v: Value | None = None, tx: int | None = None, basis: int | None = None, kind: int | None = None) -> DataFrame:
+        """The visible datoms with the given parts, and of type ``kind`` if given; ``tx`` and ``basis`` both apply."""
+        out = visible(self.frame(), basis, restriction(e, a, v), self.has_retracts(a), self.is_set(), kind)
         return out if tx is None else out.where(F.col("tx") == tx)
 
     def rows_of(self, entities: Iterable[int] | None, attributes: Iterable[int], basis: int | None = None) -> list[tuple]:
-        """The visible rows of a few attributes, and entities if given, brought to the driver."""
+        """The visible rows of a few attributes, and entities if given, brought to the driver.
+
+        For the catalog, and for what one small transaction touches; ``bulk_transact`` does without it."""
         where = F.col("a").isin(sorted(attributes))
         if entities is not None:
             where = where & F.col("e").isin(sorted(entities))
@@ -95,7 +110,7 @@ class DatomLog:
 
 
 class MemoryLog(DatomLog):
-    """A log in the driver's memory, for small data."""
+    """A log in the driver's memory, for small data; a DataFrame that is saved comes to the driver whole."""
 
     def __init__(self, spark: SparkSession, bootstrap: bool = True):
         self.spark, self.rows = spark, []
@@ -107,7 +122,10 @@ class MemoryLog(DatomLog):
 
     def save(self, rows: Sequence[tuple] | DataFrame) -> None:
         new = [tuple(r) for r in rows.select(*LOG_SCHEMA.names).collect()] if isinstance(rows, DataFrame) else list(rows)
-        self.rows = self.rows + new
+        self.rows = list(dict.fromkeys(self.rows + new))
+
+    def is_set(self) -> bool:
+        return True
 
     def latest_entity_id(self) -> int:
         return max((r[0] for r in self.rows), default=0)
@@ -137,13 +155,17 @@ class MemoryLog(DatomLog):
 class ParquetLog(DatomLog):
     """A log as Parquet files, partitioned by attribute and sorted by entity.
 
-    Its manifest names the parts that count, the id high-water mark, the attributes with retracts, and
-    how far each stream has been appended. A save writes a new part and then publishes a new version of
-    the manifest, so readers see all of it or nothing, and a second writer is refused. A reader keeps the
-    version that it opened until ``refresh``.
+    A save writes a new part and then publishes a new version of the manifest, so readers see all of it
+    or nothing, and a second writer is refused (see sources.files for where that holds). A reader keeps
+    the version that it opened until ``refresh``.
+
+    The manifest has the parts that count, each with its number of rows and range of tx, the id
+    high-water mark, the attributes with retracts, and how far each stream has been appended. A version
+    lists the parts that came since the last complete version only, so that a save writes little
+    however many parts there are; a complete one comes every _PARTS_A_VERSION parts.
     """
 
-    def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False, bootstrap: bool = True):
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
         self.folder = Folder(spark, path)
         self.versions = Versions(self.folder, "manifest")
@@ -151,22 +173,44 @@ class ParquetLog(DatomLog):
         if self.version == 0:
             if read_only:
                 raise FileNotFoundError(path)
-            self.save(bootstrap_rows())
+            self.save(bootstrap_rows() if bootstrap else [])
 
     def refresh(self) -> None:
         self.version, state = self.versions.latest()
-        self.manifest = state or {"parts": [], "latest": 0, "retracted": [], "marks": {}}
-
-    def _publish(self, manifest: dict) -> None:
-        self.versions.publish(self.version + 1, manifest)
-        self.version, self.manifest = self.version + 1, manifest
-
-    def frame(self) -> DataFrame:
-        parts = [self.folder.at(p) for p in self.manifest["parts"]]
+        state = state or {"parts": [], "latest": 0, "retracted": [], "marks": {}, "since": None}
+        self.since = state.pop("since")
+        self._older: list[dict] = self.versions.read(self.since)["parts"] if self.since is not None else []
+        self.manifest = state | {"parts": self._older + state["parts"]}
+
+    def _publish(self, manifest: dict, whole: bool = False) -> None:
+        number, older = self.version + 1, len(self._older)
+        whole = whole or len(manifest["parts"]) - older >= _PARTS_A_VERSION
+        if whole or self.since is None and self.version == 0:
+            self.versions.publish(number, manifest | {"since": None})
+            self.since, self._older = number, manifest["parts"]
+        else:
+            if self.since is None:  # the version that was opened is itself complete
+                self.since, self._older = self.version, self.manifest["parts"]
+                older = len(self._older)
+            self.versions.publish(number, manifest | {"since": self.since, "parts": manifest["parts"][older:]})
+        self.version, self.manifest = number, manifest
+
+    def parts(self) -> list[str]:
+        return [p["name"] for p in self.manifest["parts"]]
+
+    def _frame(self, parts: Sequence[str]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         # a is the parts' partition column, read in the log's type
-        return self.spark.read.schema(LOG_SCHEMA).option("basePath", self.path).parquet(*parts).select(*LOG_SCHEMA.names)
+        return self.spark.read.schema(LOG_SCHEMA).option("basePath", self.path).parquet(*map(self.folder.at, parts)).select(*LOG_SCHEMA.names)
+
+    def frame(self) -> DataFrame:
+        return self._frame(self.parts())
+
+    def is_set(self) -> bool:
+        """A part has no repeats, and two parts can share a row only if their ranges of tx overlap."""
+        ranges = sorted((p["from_tx"], p["to_tx"]) for p in self.manifest["parts"] if p["from_tx"] is not None)
+        return len(ranges) == len(self.manifest["parts"]) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
 
     def save(self, rows: Sequence[tuple] | DataFrame, mark: tuple[str, int] | None = None) -> None:
         """Appends rows. ``mark`` (a stream and the number of its batch) makes that happen once: it is
@@ -176,30 +220,43 @@ class ParquetLog(DatomLog):
         if mark is not None and self.manifest["marks"].get(mark[0], -1) >= mark[1]:
             return
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows), LOG_SCHEMA)
-        part = f"part={len(self.manifest['parts']):06d}-{uuid.uuid4().hex[:8]}"
-        self._write(df, part)
-        self._add(part, self.manifest["marks"] | ({mark[0]: mark[1]} if mark else {}))
-
-    def _write(self, df: DataFrame, part: str) -> None:
-        df = df.select(*LOG_SCHEMA.names)
-        df.repartition("a").sortWithinPartitions("a", "e").write.partitionBy("a").parquet(self.folder.at(part))
-
-    def _add(self, part: str, marks: dict[str, int]) -> None:
-        """Publishes a new part beside the old ones; what the manifest says of it is read from it."""
-        latest, retracted, parts = self.manifest["latest"], set(self.manifest["retracted"]), list(self.manifest["parts"])
+        part = self._write(df)
+        marks = self.manifest["marks"] | ({mark[0]: mark[1]} if mark else {})
+        self._publish(self._described(part, self.manifest["parts"]) | {"marks": marks})
+
+    def _write(self, df: DataFrame) -> str:
+        """A new part with each row once.
+
+        Rows are spread by ranges of attribute, entity, tx and a hash of the value, so an attribute or an
+        entity that holds most of them is written by many tasks; removing repeats needs no other shuffle.
+        """
+        part = f"part={self.version:09d}-{uuid.uuid4().hex[:8]}"
+        order = ["a", "e", "tx", "_h"]
+        rows = df.select(*LOG_SCHEMA.names, F.xxhash64("vt", *LANES.values()).alias("_h")).repartitionByRange(*order).distinct()
+        rows.sortWithinPartitions(*order).drop("_h").write.option("maxRecordsPerFile", _ROWS_A_FILE).partitionBy("a").parquet(self.folder.at(part))
+        return part
+
+    def _described(self, part: str, beside: list[dict]) -> dict:
+        """The manifest with a new part beside others; what it says of the part is read from it."""
+        latest, retracted, parts = self.manifest["latest"], set(self.manifest["retracted"]), list(beside)
         if any(n.startswith("a=") for n in self.folder.names(part)):
             # one row per attribute
-            got = self.spark.read.schema(LOG_SCHEMA).parquet(self.folder.at(part)).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op")).collect()
+            tx = [F.min("tx").alias("lo"), F.max("tx").alias("hi"), F.count("tx").alias("with_tx"), F.count(F.lit(1)).alias("n")]
+            got = self._frame([part]).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op"), *tx).collect()
             latest = max([latest, *(r.e for r in got if r.e is not None)])
             retracted |= {r.a for r in got if r.op == RETRACT}
-            parts.append(part)
-        self._publish({"parts": parts, "latest": latest, "retracted": sorted(retracted), "marks": marks})
+            known = all(r.with_tx == r.n for r in got)
+            parts.append({"name": part, "rows": sum(r.n for r in got), "from_tx": min(r.lo for r in got) if known else None, "to_tx": max(r.hi for r in got) if known else None})
+        return self.manifest | {"parts": parts, "latest": latest, "retracted": sorted(retracted)}
 
-    def compact(self) -> None:
-        """Rewrites all parts as one; the old files stay for readers that still use them."""
-        part = f"part={len(self.manifest['parts']):06d}-{uuid.uuid4().hex[:8]}"
-        self._write(self.frame(), part)
-        self._publish(self.manifest | {"parts": [part]})
+    def compact(self, most_rows: int | None = None) -> None:
+        """Rewrites the parts of at most ``most_rows`` rows, by default all, as one; the old files stay for readers that still use them."""
+        if self.read_only:
+            raise PermissionError("the log was opened to be read")
+        small = [p for p in self.manifest["parts"] if most_rows is None or p["rows"] <= most_rows]
+        if len(small) > 1:
+            part = self._write(self._frame([p["name"] for p in small]))
+            self._publish(self._described(part, [p for p in self.manifest["parts"] if p not in small]), whole=True)
 
     def latest_entity_id(self) -> int:
         return self.manifest["latest"]
@@ -210,10 +267,13 @@ class ParquetLog(DatomLog):
 
 
 class FrameLog(DatomLog):
-    """A log that is an existing DataFrame in the log's schema, to be read only."""
+    """A log that is an existing DataFrame in the log's schema, to be read only; ``distinct`` says that it has no repeats."""
+
+    def __init__(self, df: DataFrame, catalog: Catalog | None = None, distinct: bool = False):
+        self.spark, self.df, self._catalog, self._distinct = df.sparkSession, df.select(*LOG_SCHEMA.names), catalog, distinct
 
-    def __init__(self, df: DataFrame, catalog: Catalog | None = None):
-        self.spark, self.df, self._catalog = df.sparkSession, df.select(*LOG_SCHEMA.names), catalog
+    def is_set(self) -> bool:
+        return self._distinct
 
     def frame(self) -> DataFrame:
         return self.df

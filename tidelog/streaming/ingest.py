@@ -17,7 +17,7 @@ def datom_files(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 def append_to_log(stream: DataFrame, log: ParquetLog, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Starts a query that appends every micro-batch to ``log``.
 
-    The number of a batch is published in the log's manifest in the same rename as its rows, so a batch
+    The number of a batch is published in the log's manifest in the same step as its rows, so a batch
     that is run again after a failure changes nothing. The query is the log's one writer while it runs.
     """
 
