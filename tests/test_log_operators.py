@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests import brute
 from tidelog.operators import asof, changefeed, eager, history, orphans, timeline, widen
 from tidelog.operators.facts import facts, states
+from tidelog.session import cut_lineage
 
 
 def frames(spark, rows):
@@ -45,18 +46,26 @@ def test_history(log, share, blocks, least, monkeypatch, spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_bit_runs():
+def test_presence_is_what_holds_at_each_snapshot(log):
+    """Each bit straight from the definition at its snapshot's tx, whatever comes later."""
     import numpy as np
 
-    r = random.Random(5)
-    for _ in range(50):
-        spans = [(r.randint(0, 3), *sorted((r.randint(0, 300), r.randint(0, 300)))) for _ in range(r.randint(0, 30))]
-        want = set()
-        for p in range(4):
-            bits = {i for q, b, e in spans if q == p for i in range(b, e)}
-            want |= {(p, i, next(j for j in range(i, 302) if j not in bits)) for i in bits if i - 1 not in bits}
-        got = history.bit_runs(*(np.array([s[i] for s in spans], np.int64) for i in range(3)))
-        assert sorted(zip(*(x.tolist() for x in got))) == sorted(want)
+    rows, _, _ = log
+    f, cards = brute.facts_of(rows)
+    one = sorted(x for x in f if cards[x[1]] == 0)
+    one.sort(key=lambda x: (x[0], x[1], x[3]))
+    e, a, tx, op = (np.array([x[i] for x in one]) for i in (0, 1, 3, 4))
+    values = sorted({x[2] for x in one})
+    code = np.array([values.index(x[2]) for x in one])
+    g, snap = timeline.numbered(e, a), timeline.numbered(e, a, tx)
+    pair, at = history.presence(g, snap, code, op)
+    heads = np.searchsorted(snap, np.arange(snap[-1] + 1))
+    codes = code.max() + 1
+    got = sorted((int(e[heads[s]]), int(a[heads[s]]), values[p % codes], int(tx[heads[s]])) for p, s in zip(pair, at))
+    assert all(g[heads[s]] == p // codes for p, s in zip(pair, at))
+    want = {t: brute.held_at(set(one), cards, t) for t in {x[3] for x in one}}
+    touched = {(x[0], x[1], x[3]) for x in one}
+    assert got == sorted((x, y, v, t) for t, held in want.items() for x, y, v in held if (x, y, t) in touched)
 
 
 @pytest.mark.parametrize("share, blocks, least", [(1 / 400, 64, 50_000), (0.2, 5, 50_000), (0.2, 5, 4), (1.0, 4, 1)])
@@ -151,14 +160,35 @@ def test_orphans(log, spark):
     assert {r.ym for r in got if r.rec == "2"} == {None}
 
 
-def test_count_deltas_add_up(log, spark):
+@pytest.mark.parametrize("cuts", [[50], [40, 60]])
+def test_counts_are_kept_by_changes(log, cuts):
+    """Counts that are kept while changes come in parts are those of the whole; some deltas are negative."""
+    rows, datoms, attrs = log
+    f = facts(datoms, attrs)
+    whole = orphans.add_counts(orphans.count_deltas(None, states(f))).select("key", "refs", "live", "born").where("refs != 0 or live != 0")
+    known, deltas, low = None, None, -1
+    for high in [*cuts, 10**9]:
+        known, delta = orphans.apply_changes(known, f.where((F.col("tx") > low) & (F.col("tx") <= high)))
+        known, delta = cut_lineage(known), cut_lineage(delta)  # as kept between runs
+        deltas, low = delta if deltas is None else deltas.unionByName(delta), high
+    kept = orphans.add_counts(deltas)
+    assert sorted(map(str, kept.select("key", "refs", "live", "born").where("refs != 0 or live != 0").collect())) == sorted(map(str, whole.collect()))
+    assert deltas.where("live < 0").count() > 0
+    of_kept = orphans.orphan_references(known, kept).collect()
+    of_whole = orphans.orphan_references(states(f), orphans.add_counts(orphans.count_deltas(None, states(f)))).collect()
+    assert sorted(map(str, of_kept)) == sorted(map(str, of_whole)) and of_whole
+
+
+def test_late_and_repeated_changes(log):
+    """The later part first, then the earlier one, then some of it again."""
     rows, datoms, attrs = log
     f = facts(datoms, attrs)
-    before, after = states(f.where("tx <= 50")), states(f)
-    whole = orphans.add_counts(orphans.count_deltas(None, after)).select("key", "refs", "live").where("refs != 0 or live != 0")
-    steps = orphans.count_deltas(None, before).unionByName(orphans.count_deltas(before, after))
-    steps = orphans.add_counts(steps).select("key", "refs", "live").where("refs != 0 or live != 0")
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, steps.collect()))
+    known = cut_lineage(orphans.apply_changes(None, f.where("tx > 50"))[0])
+    known = cut_lineage(orphans.apply_changes(known, f.where("tx <= 50"))[0])
+    known, d3 = orphans.apply_changes(known, f.where("tx between 40 and 60"))
+    assert d3.groupBy("key").agg(F.sum("refs").alias("r"), F.sum("live").alias("l")).where("r != 0 or l != 0").count() == 0
+    names = ["e", "a", "v", "la", "lr", "fa", "holds"]
+    assert sorted(map(str, known.select(*names).collect())) == sorted(map(str, states(f).select(*names).collect()))
 
 
 def test_movies(log):
@@ -176,6 +206,35 @@ def test_movies(log):
     assert sorted(map(tuple, widen.movies(datoms, attrs).collect())) == sorted(want)
 
 
+def test_wide_tables_in_several_aggregations(log, monkeypatch):
+    _, datoms, attrs = log
+    held = states(facts(datoms, attrs)).where("holds")
+    attributes = widen.discover(attrs, "")
+    one = sorted(map(str, widen.widen(held, attributes).collect()))
+    monkeypatch.setattr(widen, "AT_ONCE", 2)
+    assert sorted(map(str, widen.widen(held, attributes).collect())) == one and len(attributes) > 6
+
+
+def test_contradicting_declarations(spark):
+    rows = [(8, 7, "m/a", 4, 0, None, False), (8, 7, "m/b", 4, 1, None, False), (8, 7, "m/c", 1, 1, None, False), (9, 7, None, 4, 0, None, False)]
+    assert widen.discover(spark.createDataFrame(rows, brute.ATTRS), "m/") == [widen.Attribute(8, "m/b", 4, 1)]
+
+
+def test_hot_entities_of_a_keyed_history(spark):
+    from tidelog.sources.importer import keyed_history
+    from tidelog.sources.schema import Attribute
+
+    rows = [(1 if i % 3 else i, i, str(i)) for i in range(1, 2000)]
+    df = spark.createDataFrame(rows, "k long, t long, x string")
+    got = keyed_history(df, "k", "t", F.col("x"), Attribute(900, "x/y", 4, 0, False, 0)).where("op = 1").select("e", "v_str", "tx").collect()
+    last, want = {}, set()
+    for k, t, x in rows:
+        if k in last:
+            want.add((k, last[k], t))
+        last[k] = x
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_empty_tables(spark):
     datoms, attrs = frames(spark, [])
     none = attrs.limit(0)

@@ -53,7 +53,27 @@ def test_hot_keys(spark):
     assert skew.hot_keys(df, ["k"], 0.2) == [h[1]]
     assert skew.hot_keys(df, ["k"], 0.1) == sorted([h[1], h[2]])
     assert skew.hot_keys(df, ["k"], 0.9) == [] == skew.hot_keys(df.limit(0), ["k"])
-    assert 1 / 5_000 <= skew.hot_share(df) <= skew.HOT_SHARE
+    assert skew.hot_share(df) <= skew.HOT_SHARE
+    few = spark.createDataFrame([(5, 5)] * 3 + [(6, 1)], "k long, x long")
+    assert [len(x) for x in skew.all_hot_keys([df, few, few.limit(0)], ["k"], 0.2)] == [1, 2, 0]
+    many = [r.h for r in spark.range(300).select(skew.key_hash(["id"]).alias("h")).collect()]
+    assert spark.range(1000).where(skew.is_hot(["id"], many)).count() == 300
+
+
+def test_summaries_meet_in_two_steps(spark, monkeypatch):
+    """A summary of all map tasks never goes to one task: first groups of tasks, then the groups."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect, first = [], DataFrame.collect, DataFrame.first
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(plan(self)) or collect(self))
+    monkeypatch.setattr(DataFrame, "first", lambda self: seen.append(plan(self)) or first(self))
+    df = spark.range(1000, numPartitions=32).withColumn("k", F.col("id") % 7)
+    skew.all_hot_keys([df, df], ["k"])
+    skew.quantile_edges(df, "k", 8)
+    assert len(seen) >= 2
+    for p in (seen[0], seen[-1]):
+        exchanges = re.findall(r"Exchange (?:hashpartitioning\((.*?)\)|SinglePartition)", p)
+        assert len(exchanges) == 2 and re.search("_nondeterministic|_groupingexpression", exchanges[-1])
 
 
 def test_quantile_blocks(spark):

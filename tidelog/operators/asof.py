@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import timeline
 from tidelog.operators.facts import ONE, facts
-from tidelog.operators.skew import block_of, hot_keys, is_hot
+from tidelog.operators.skew import block_of, is_hot, partitions
 
-#: Copies of a group's changes, when the group's events are a large share of all events.
-SALTS = 8
 _ASK = 2
 
 
@@ -71,7 +69,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[ask]), pa.array(tx[v])], ["id", "tx"])
 
 
-def as_of(changes: DataFrame, events: DataFrame, share: float | None = None, blocks: int | None = None, salts: int = SALTS) -> DataFrame:
+def as_of(changes: DataFrame, events: DataFrame, share: float | None = None, blocks: int | None = None, salts: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(id, tx) for each event (id, e, a, at) at whose tx ``at`` a value of one-valued (e, a) holds.
 
     ``changes`` are facts (e, a, v, tx, op); the resulting tx is that of the latest assert up to
@@ -79,15 +77,18 @@ def as_of(changes: DataFrame, events: DataFrame, share: float | None = None, blo
     assert give no row. Repeated events count once, repeated changes change nothing; other columns are
     ignored; either table may be empty.
 
-    Groups with a large share of the changes or events are cut by tx into blocks (see timeline); where
-    the events alone are many, they are also dealt to ``salts`` copies of the group's changes.
+    Groups with a large share of the changes or events are cut by tx into blocks (see timeline), evenly
+    by the rows of both. Only where most of a group's events ask for one and the same tx does a block stay
+    large; so the events of groups that are much asked for are also dealt to ``salts`` copies of the
+    block's changes, by default one for each 64 shuffle partitions (of a group with a third of all events a
+    block has a third of a partition's share; with all of them at one tx, a copy has 21 times it) and 8 at
+    least. ``keys`` (e, a, tx) may stand for the changes where keys are counted (see history).
     """
+    salts = salts or max(8, partitions(changes) // 64)
     rows = changes.select("e", "a", "v", "tx", F.col("op").cast("tinyint").alias("op")).dropna()
     asks = events.select("id", "e", "a", F.col("at").alias("tx")).dropna()
-    eager, asked = hot_keys(rows, timeline.KEY, share), hot_keys(asks, timeline.KEY, share)
+    (eager, asked), edges = timeline.plan([keys if keys is not None else rows, asks], share, blocks)
     hot = sorted({*eager, *asked})
-    both = rows.select("e", "a", "tx").unionByName(asks.select("e", "a", "tx"))
-    edges = timeline.edges_for(both, hot, blocks)
     salted = is_hot(timeline.KEY, asked)
     left = timeline.blocked(rows, hot, edges)
     left = left.withColumn("salt", F.explode(F.when(salted, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))) if asked else left.withColumn("salt", F.lit(0))
@@ -104,4 +105,4 @@ def read_as_of(datoms: DataFrame, attrs: DataFrame, reads: DataFrame) -> DataFra
     """(read_id, tx) of the reads (read_id, e, a, basis_tx) for which a value held at basis_tx."""
     one = facts(datoms, attrs).where(F.col("card") == ONE)
     asks = reads.select(F.col("read_id").alias("id"), "e", "a", F.col("basis_tx").alias("at"))
-    return as_of(one, asks).withColumnRenamed("id", "read_id")
+    return as_of(one, asks, keys=datoms.select("e", "a", "tx")).withColumnRenamed("id", "read_id")

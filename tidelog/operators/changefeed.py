@@ -16,6 +16,8 @@ from tidelog.operators.facts import MANY, declared, states, value_text
 from tidelog.operators.skew import hot_keys, quantile_edges
 from tidelog.session import cut_lineage
 
+#: A batch is worked through in shuffle partitions like any table, so none has to fit anywhere; more of them only
+#: find more of the older changes settled, and each costs a pass over the part of the feed with its tx.
 BATCHES = 3
 _SLOT = ["e", "a", "slot"]
 
@@ -25,19 +27,21 @@ def _slot():
     return F.when(F.col("card") == MANY, F.concat(F.lit("="), F.col("v"))).otherwise(F.lit(""))
 
 
-def resolve(feed: DataFrame, base: DataFrame | None = None, batches: int = BATCHES, edges: Sequence[int] | None = None) -> DataFrame:
+def resolve(feed: DataFrame, base: DataFrame | None = None, batches: int = BATCHES, edges: Sequence[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(e, a, v, card, tx): every value that holds after all changes, with its latest asserting tx.
 
     ``feed`` are facts (e, a, v, tx, op, card, decl) in any order; repeats change nothing, and delivery
     order has no influence. ``base`` (e, a, v, card, tx) is the state before the feed, all of whose tx
     are less than the feed's. Batches are cut at ``edges`` of tx, by default at quantiles; no tx is
     ever split, and the result does not depend on them. Of values asserted by one tx for a one-valued
-    attribute all hold. An empty feed gives the base.
+    attribute all hold. An empty feed gives the base. ``keys`` (e, a, tx) may stand for the feed where keys
+    are counted and edges are looked for; it may have rows that are no facts.
     """
     feed = feed.select("e", "a", "v", "tx", "op", "card", "decl")
+    keys = feed if keys is None else keys
     if edges is None:
-        edges = quantile_edges(feed, "tx", batches)
-    hot = hot_keys(feed, ["e", "a"])
+        edges = quantile_edges(keys.select("tx"), "tx", batches)
+    hot = hot_keys(keys.select("e", "a"), ["e", "a"])
     bounds = [None, *edges, None]
     settled: DataFrame | None = None  # (e, a, slot, v, card, tx, mark): images, their slots, tombstones
     for low, high in reversed(list(zip(bounds, bounds[1:]))):
@@ -83,4 +87,4 @@ def replica_facts(change_feed: DataFrame, attrs: DataFrame) -> DataFrame:
 
 def replica_state(change_feed: DataFrame, attrs: DataFrame) -> DataFrame:
     """(e, a, val, tx) of each value that holds at the end of the feed."""
-    return resolve(replica_facts(change_feed, attrs)).select("e", "a", F.col("v").alias("val"), "tx")
+    return resolve(replica_facts(change_feed, attrs), keys=change_feed).select("e", "a", F.col("v").alias("val"), "tx")

@@ -59,7 +59,7 @@ def facts(datoms: DataFrame, attrs: DataFrame, only: Sequence[int] | None = None
     )
 
 
-def states(rows: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
+def states(rows: DataFrame, hot: Sequence[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
     """One row (e, a, v, card, decl, la, lr, fa, top, holds) for each (e, a, v) of the facts ``rows``.
 
     la and fa are the latest and first asserting tx, lr the latest retracting one; top says that no
@@ -67,11 +67,12 @@ def states(rows: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
 
     One shuffle by (e, a). Those that hold a large share of the rows take another way: map-side
     aggregates by value, and the latest assert of each such (e, a) broadcast (see hot_keys for how many
-    there can be), so that no task receives one whole.
+    there can be), so that no task receives one whole. ``keys`` (e, a) may stand for the rows where it is
+    only asked which keys are hot; it may have rows that are no facts.
     """
     key = ["e", "a"]
     if hot is None:
-        hot = hot_keys(rows, key)
+        hot = hot_keys(keys if keys is not None else rows, key)
     agg = [
         F.max(F.when(F.col("op") == 0, F.col("tx"))).alias("la"),
         F.max(F.when(F.col("op") == 1, F.col("tx"))).alias("lr"),
@@ -83,6 +84,6 @@ def states(rows: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     if hot:
         some = rows.where(is_hot(key, hot))
         last = some.where(F.col("op") == 0).groupBy(*key).agg(F.max("tx").alias("m"))
-        cold = cold.unionByName(some.groupBy(*by).agg(*agg).join(F.broadcast(last), key, "left"))
+        cold = cold.unionByName(some.groupBy(*by).agg(*agg).join(F.broadcast(last), key, "left"))  # at most one row per hot key
     top = F.col("la").isNotNull() & ((F.col("card") == MANY) | (F.col("la") == F.col("m")))
     return cold.select("e", "a", "v", "card", "decl", "la", "lr", "fa", top.alias("top"), (top & (F.col("lr").isNull() | (F.col("lr") <= F.col("la")))).alias("holds"))

@@ -1,9 +1,10 @@
 """History of changing entity attributes: presence bitmaps over an entity-attribute's snapshots.
 
 The snapshots of an (entity, attribute) are the transactions that touch it; between two of them
-nothing changes. Each (entity, attribute, value) has a bitmap with one bit per snapshot, in words of
-64 of which only those with a bit set exist. Runs of consecutive bits are the validity periods; a gap
-(retracted, later asserted again) ends one run and begins another.
+nothing changes. Each (entity, attribute, value) has a bitmap in which the bit of every snapshot is set
+that finds the value held, in words of 64 of which only those with a bit set exist. Nothing else says how
+long a value lasts: runs of consecutive bits are the validity periods, and a gap (retracted, later
+asserted again) ends one run and begins another.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import timeline
 from tidelog.operators.facts import ONE, facts
-from tidelog.operators.skew import hot_keys, is_hot
+from tidelog.operators.skew import is_hot
 
 NEVER = -1
 WORD = 64
@@ -25,25 +26,14 @@ WORD = 64
 _OUT = "e long, a long, v string, from_tx long, to_tx long, block int, left boolean, right boolean"
 
 
-def bit_runs(pair: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets the bits [begin, end) of bitmap ``pair``, row by row, and returns the runs (pair, begin, end)."""
-    keep = end > begin
-    pair, begin, end = pair[keep], begin[keep], end[keep]
+def bit_runs(pair: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets bit ``at`` in bitmap ``pair``, row by row, and returns the runs of set bits (pair, begin, end)."""
     if not len(pair):
-        return pair, begin, end
-    first, last = begin // WORD, (end - 1) // WORD
-    n = last - first + 1
-    row = np.repeat(np.arange(len(pair)), n)
-    word = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    low = np.maximum(begin[row] - word * WORD, 0).astype(np.uint64)
-    high = np.minimum(end[row] - word * WORD, WORD).astype(np.uint64)
-    full = np.uint64(2**64 - 1)
-    mask = (full >> (np.uint64(WORD) - (high - low))) << low
-    p = pair[row]
-    order = np.lexsort((word, p))
-    p, word, mask = p[order], word[order], mask[order]
-    at = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (word[1:] != word[:-1])))
-    bits, p, word = np.bitwise_or.reduceat(mask, at), p[at], word[at]
+        return pair, at, at
+    order = np.lexsort((at, pair))
+    p, word, bit = pair[order], at[order] // WORD, np.uint64(1) << (at[order] % WORD).astype(np.uint64)
+    first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (word[1:] != word[:-1])))
+    bits, p, word = np.bitwise_or.reduceat(bit, first), p[first], word[first]
     # one row of 64 cells a word; the runs of set cells, joined where the next word goes on
     cells = np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
     goes_on = (p[1:] == p[:-1]) & (word[1:] == word[:-1] + 1)
@@ -58,6 +48,36 @@ def bit_runs(pair: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     return p[w], word[w] * WORD + b, word[w2] * WORD + b2 + 1
 
 
+def presence(g: np.ndarray, snap: np.ndarray, code: np.ndarray, op: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group * codes + code, snapshot) for each value and each snapshot at which it is held.
+
+    Rows are sorted by group and snapshot; a snapshot is seen by itself: what the latest assert up to it
+    has put, less what a retract after that assert, and up to the snapshot, has taken away.
+    """
+    n, codes = int(snap[-1]) + 1, int(code.max()) + 1
+    heads = np.searchsorted(snap, np.arange(n))
+    group = g[heads]
+    put = op == 0
+    asserted = np.unique(snap[put] * codes + code[put])
+    by, value = asserted // codes, asserted % codes
+    latest = np.full(n, -1)
+    latest[by] = by
+    latest = np.maximum.accumulate(latest)
+    latest[(latest >= 0) & (group[latest] != group)] = -1  # of an earlier group
+    low, high = np.searchsorted(by, latest, "left"), np.searchsorted(by, latest, "right")
+    many = np.where(latest >= 0, high - low, 0)
+    at = np.repeat(np.arange(n), many)
+    v = value[np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+    pair = group[at] * codes + v
+    # the last retract of the value in the group up to the snapshot
+    taken = np.unique((g[~put] * codes + code[~put]) * n + snap[~put])
+    k = np.searchsorted(taken, pair * n + at, "right") - 1
+    ended = np.zeros(len(at), bool)
+    some = k >= 0
+    ended[some] = (taken[k[some]] // n == pair[some]) & (taken[k[some]] % n > latest[at[some]])
+    return pair[~ended], at[~ended]
+
+
 def _periods(edges: list[int]):
     """A function for mapInArrow over rows sorted by (e, a, block, tx)."""
 
@@ -70,7 +90,7 @@ def _periods(edges: list[int]):
             e, a, block, tx, op, start = (t[c].to_numpy() for c in ("e", "a", "block", "tx", "op", "start"))
             code = t["v"].combine_chunks().dictionary_encode()
             words = code.dictionary
-            code = code.indices.to_numpy()
+            code = code.indices.to_numpy().astype(np.int64)
             if not end:  # the last snapshot may go on in the next table
                 cut = np.flatnonzero((e != e[-1]) | (a != a[-1]) | (block != block[-1]) | (tx != tx[-1]))
                 cut = cut[-1] + 1 if len(cut) else 0
@@ -81,30 +101,20 @@ def _periods(edges: list[int]):
                     continue
             g = timeline.numbered(e, a, block)
             snap = timeline.numbered(e, a, block, tx)
-            heads = np.searchsorted(snap, np.arange(snap[-1] + 1))
+            n, codes = int(snap[-1]) + 1, int(code.max()) + 1
+            heads = np.searchsorted(snap, np.arange(n))
             snap_g, snap_tx = g[heads], tx[heads]
-            n = len(heads)
-            asserts = np.zeros(n, bool)
-            asserts[snap[op == 0]] = True
             group_end = np.append(np.flatnonzero(snap_g[1:] != snap_g[:-1]) + 1, n)[snap_g]
-            following = np.minimum.accumulate(np.where(asserts, np.arange(n), n)[::-1])[::-1]
-            following = np.minimum(np.append(following[1:], n), group_end)
-            gone = timeline.first_retract(g, code, snap, op, n)
-            i = np.flatnonzero(op == 0)
-            stop = np.minimum(np.minimum(following[snap[i]], gone[i]), group_end[snap[i]])
-            # a bitmap for each (group, value)
-            order = np.lexsort((snap[i], code[i], g[i]))
-            i, stop = i[order], stop[order]
-            new = np.append(True, (g[i][1:] != g[i][:-1]) | (code[i][1:] != code[i][:-1])) if len(i) else np.zeros(0, bool)
-            pair = np.cumsum(new) - 1
-            of_pair = i[new]
-            p, first, last = bit_runs(pair, snap[i], stop)
-            source = of_pair[p]
-            # a run that begins with a carried assert begins where that one began
-            carried = {(int(g[k]), int(code[k])): int(start[k]) for k in np.flatnonzero(start != tx)}
+            # the periods are the runs of bits
+            pair, first, last = bit_runs(*presence(g, snap, code, op))
+            value_code, source = pair % codes, heads[first]
             begin = snap_tx[first]
-            if carried:
-                begin = np.array([carried.get((x, y), z) if f == h else z for x, y, z, f, h in zip(g[source].tolist(), code[source].tolist(), begin.tolist(), first.tolist(), np.searchsorted(g[heads], g[source]).tolist())], np.int64)
+            k = np.flatnonzero(start != tx)
+            if len(k):  # a run that begins with a carried assert begins where that one began
+                k = k[np.argsort(snap[k] * codes + code[k], kind="stable")]
+                keys = snap[k] * codes + code[k]
+                at = np.minimum(np.searchsorted(keys, first * codes + value_code), len(keys) - 1)
+                begin = np.where(keys[at] == first * codes + value_code, start[k][at], begin)
             open_end = last == group_end[first]
             finish = np.where(open_end, NEVER, snap_tx[np.minimum(last, n - 1)])
             held = None
@@ -113,13 +123,13 @@ def _periods(edges: list[int]):
                 k = np.flatnonzero(more)
                 top = int(tx[op == 0].max(initial=-(2**62), where=(g[op == 0] == g[-1]))) if len(k) else 0
                 carry = pa.table(
-                    {"e": e[source[k]], "a": a[source[k]], "v": words.take(pa.array(code[source[k]])), "tx": np.full(len(k), top), "op": np.zeros(len(k), np.int8), "block": block[source[k]], "start": begin[k]}
+                    {"e": e[source[k]], "a": a[source[k]], "v": words.take(pa.array(value_code[k])), "tx": np.full(len(k), top), "op": np.zeros(len(k), np.int8), "block": block[source[k]], "start": begin[k]}
                 )
                 held = pa.concat_tables([carry.cast(rest.select(carry.column_names).schema), rest.select(carry.column_names)])
                 done = np.flatnonzero(~more)
-                source, begin, finish, open_end = source[done], begin[done], finish[done], open_end[done]
+                source, value_code, begin, finish, open_end = source[done], value_code[done], begin[done], finish[done], open_end[done]
             b = block[source].astype(np.int64)
-            value = words.take(pa.array(code[source]))
+            value = words.take(pa.array(value_code))
             if edges and (b > 0).any():  # keep to the block
                 lows = np.array([-(2**63), *edges], np.int64)
                 highs = np.array([*edges, 2**63 - 1], np.int64)
@@ -139,17 +149,19 @@ def _periods(edges: list[int]):
     return run
 
 
-def history(changes: DataFrame, share: float | None = None, blocks: int | None = None) -> DataFrame:
+def history(changes: DataFrame, share: float | None = None, blocks: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(e, a, v, from_tx, to_tx): the maximal periods in which one-valued (e, a) holds v without a break.
 
     ``changes`` are facts of one-valued attributes (e, a, v, tx, op). to_tx is the first tx at which v
     no longer holds, -1 if it holds at the end. Repeated rows change nothing; two values asserted by
     one tx have a period each; an assert and a retract of a value in one tx leave it asserted. Rows
-    with a null are left out; an empty table gives no rows; other columns are ignored.
+    with a null are left out; an empty table gives no rows; other columns are ignored. ``keys`` (e, a, tx)
+    may stand for the changes where it is only asked which keys are hot and how they are cut; it may have
+    rows that are no changes.
     """
     rows = changes.select("e", "a", "v", "tx", F.col("op").cast("tinyint").alias("op")).dropna()
-    hot = hot_keys(rows, timeline.KEY, share)
-    edges = timeline.edges_for(rows, hot, blocks)
+    hot, edges = timeline.plan([keys if keys is not None else rows], share, blocks)
+    hot = hot[0]
     key = [*timeline.KEY, "block"]
 
     def pieces(part: DataFrame) -> DataFrame:
@@ -182,4 +194,5 @@ def _joined(pieces: DataFrame) -> DataFrame:
 
 def log_history(datoms: DataFrame, attrs: DataFrame, above: int = 6) -> DataFrame:
     """``history`` of all one-valued attributes with an id above ``above``."""
-    return history(facts(datoms, attrs).where((F.col("card") == ONE) & (F.col("a") > above)))
+    changes = facts(datoms, attrs).where((F.col("card") == ONE) & (F.col("a") > above))
+    return history(changes, keys=datoms.select("e", "a", "tx").where(F.col("a") > above))

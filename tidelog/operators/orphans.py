@@ -1,4 +1,9 @@
-"""References to records that do not exist, by signed reference and existence counts per key."""
+"""References to records that do not exist, by signed reference and existence counts per key.
+
+What is kept are the states of the facts (see facts.states) and, per key, how many references to it and
+facts about it hold. A set of changes gives new states for the entities and attributes it touches; the
+difference to their old ones is a signed delta, which is added to the counts. Nothing else is looked at.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +16,10 @@ REF = 5
 
 
 def count_deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
-    """Signed deltas (key, refs, live, born, oldest) that lead from one set of held facts to another.
+    """Signed deltas (key, refs, live, born, oldest) that lead from one set of states to another.
 
     A fact (e, a, v, decl, la, fa, holds) that holds counts +1 for the existence of its e and, if it is
-    a reference, +1 for the references to its target; one that no longer holds counts -1. born is the
+    a reference, +1 for the references to its target; each counts -1 for what held before. born is the
     first tx that asserted anything about the key, oldest the least asserting tx of a reference to it.
     ``before`` is None at the start.
     """
@@ -30,8 +35,32 @@ def count_deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
     return side(after, 1) if before is None else side(after, 1).unionByName(side(before, -1))
 
 
+def apply_changes(known: DataFrame | None, changes: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(states, deltas): all states after the facts ``changes``, and the signed deltas of the counts.
+
+    ``known`` are the states before (None if there are none). Changes may come in any order, early ones
+    late, and again; only those states are worked out anew, and compared with what they were, whose (e, a)
+    the changes touch. A state goes into that as the two or three facts that it stands for.
+    """
+    if known is None:
+        after = states(changes, keys=keys)
+        return after, count_deltas(None, after)
+    touched = changes.select("e", "a").distinct()
+    before = known.join(touched, ["e", "a"], "left_semi")
+    turns = F.array(*[F.struct(F.col(c).alias("tx"), F.lit(op).alias("op")) for c, op in (("la", 0), ("fa", 0), ("lr", 1))])
+    old = before.select("e", "a", "v", "card", "decl", F.inline(turns)).where(F.col("tx").isNotNull())
+    names = ["e", "a", "v", "tx", "op", "card", "decl"]
+    after = states(old.select(*names).unionByName(changes.select(*names)))
+    rest = known.join(touched, ["e", "a"], "left_anti")
+    return rest.unionByName(after), count_deltas(before, after)
+
+
 def add_counts(deltas: DataFrame) -> DataFrame:
-    """(key, refs, live, born, oldest) per key; deltas and earlier counts may be added in any order."""
+    """(key, refs, live, born, oldest) per key; deltas and earlier counts may be added in any order.
+
+    oldest is a bound: it stays where the reference that set it has ended, so what it makes a candidate is
+    looked at once more (orphan_references does).
+    """
     return deltas.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("live").alias("live"), F.min("born").alias("born"), F.min("oldest").alias("oldest"))
 
 
@@ -40,14 +69,14 @@ def orphan_keys(counts: DataFrame) -> DataFrame:
     return counts.where((F.col("refs") > 0) & (F.col("born").isNull() | (F.col("live") <= 0) | (F.col("born") > F.col("oldest"))))
 
 
-def orphan_references(held: DataFrame) -> DataFrame:
+def orphan_references(held: DataFrame, counts: DataFrame) -> DataFrame:
     """(e, a, v, la, kind) of each reference that holds and whose target is missing, deleted or later.
 
-    ``held`` are states of all facts (see facts.states). The target is missing if nothing was ever
-    asserted about it, else deleted if nothing about it holds at the end, else later if its first
-    assert has a greater tx than the reference's latest.
+    ``held`` are the states of all facts (see facts.states), ``counts`` those of all keys. The target is
+    missing if nothing was ever asserted about it, else deleted if nothing about it holds at the end,
+    else later if its first assert has a greater tx than the reference's latest.
     """
-    keys = orphan_keys(add_counts(count_deltas(None, held))).select(F.col("key").alias("v"), "live", "born")
+    keys = orphan_keys(counts).select(F.col("key").alias("v"), "live", "born")
     refs = held.where((F.col("decl") == REF) & F.col("holds")).select("e", "a", F.col("v").try_cast("long").alias("v"), "la")
     kind = F.when(F.col("born").isNull(), "missing").when(F.col("live") <= 0, "deleted").when(F.col("born") > F.col("la"), "later")
     return refs.join(keys, "v").withColumn("kind", kind).where(F.col("kind").isNotNull()).select("e", "a", "v", "la", "kind")
@@ -81,8 +110,8 @@ def orphans(datoms: DataFrame, attrs: DataFrame, operations: DataFrame) -> DataF
     ym is null for a tx without a time. Repeated rows count once. A row of datoms with a null attribute
     refers to nothing; an operation with a null attribute name refers to a name that does not exist.
     """
-    held = states(facts(datoms, attrs))
-    of_values = orphan_references(held).select(F.lit("datoms.v_ref").alias("src"), F.concat_ws(":", "e", "a", "v", "la").alias("rec"), "kind", F.col("la").alias("tx"))
+    held, deltas = apply_changes(None, facts(datoms, attrs), datoms.select("e", "a"))
+    of_values = orphan_references(held, add_counts(deltas)).select(F.lit("datoms.v_ref").alias("src"), F.concat_ws(":", "e", "a", "v", "la").alias("rec"), "kind", F.col("la").alias("tx"))
     rows = datoms.where(F.col("a").isNotNull()).select("e", "a", "tx")
     of_ids = attribute_orphans(rows, attrs).select(F.lit("datoms.a").alias("src"), F.concat_ws(":", "e", "a", "tx").alias("rec"), "kind", "tx")
     of_names = name_orphans(operations, attrs).select(F.lit("operations.attr_ident").alias("src"), F.col("op_id").cast("string").alias("rec"), "kind", "tx")

@@ -8,28 +8,31 @@ it, and what came after that. Any block can then be worked through on its own.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.skew import block_of, is_hot, quantile_edges
+from tidelog.operators.skew import all_hot_keys, block_of, is_hot, partitions, quantile_edges
 
-#: A hot group is cut into as many blocks as there are shuffle partitions, but into these at least and most.
-LEAST_BLOCKS, MOST_BLOCKS = 64, 1_024
+#: A hot group is cut into as many blocks as there are shuffle partitions, at least into these: as no group
+#: is more than the whole, none of its blocks is then more than a partition's share.
+LEAST_BLOCKS = 64
 #: Rows of the table of hot groups' blocks that are broadcast; a larger one is joined by shuffle.
 BROADCAST_BLOCKS = 200_000
 KEY = ["e", "a"]
 
 
-def edges_for(changes: DataFrame, hot: Sequence[int], blocks: int | None = None) -> list[int]:
-    """tx values at which hot groups are cut, by the quantiles of their rows."""
-    if not hot:
-        return []
-    if blocks is None:
-        blocks = min(max(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BLOCKS), MOST_BLOCKS)
-    return quantile_edges(changes.where(is_hot(KEY, hot)), "tx", blocks)
+def plan(tables: Sequence[DataFrame], share: float | None = None, blocks: int | None = None) -> tuple[list[list[int]], list[int]]:
+    """The hot keys (e, a) of each table, and the values of tx at which the rows of all of them are cut evenly."""
+    hot = all_hot_keys(tables, KEY, share)
+    every = sorted({k for x in hot for k in x})
+    if not every:
+        return hot, []
+    rows = reduce(DataFrame.unionAll, [t.select(*KEY, "tx") for t in tables])
+    return hot, quantile_edges(rows.where(is_hot(KEY, every)), "tx", blocks or max(partitions(rows), LEAST_BLOCKS))
 
 
 def blocked(changes: DataFrame, hot: Sequence[int], edges: Sequence[int]) -> DataFrame:

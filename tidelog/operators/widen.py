@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.facts import MANY, facts, states
 
-#: The list of attributes becomes part of the plan; a longer one is refused.
-MOST_ATTRIBUTES = 5_000
+#: Attributes of one aggregation; more are aggregated in several and joined by entity.
+AT_ONCE = 1_000
 SQL_TYPES = {1: "bigint", 2: "decimal(20,0)", 3: "decimal(38,18)", 4: "string", 5: "bigint"}
 
 
@@ -24,11 +24,14 @@ class Attribute:
 
 
 def discover(attrs: DataFrame, prefix: str) -> list[Attribute]:
-    """The declared attributes whose ident begins with ``prefix``, by id."""
-    found = attrs.where(F.col("ident").startswith(prefix) & F.col("id").isNotNull()).select("id", "ident", "value_type", "card").distinct().orderBy("id").limit(MOST_ATTRIBUTES + 1).collect()
-    if len(found) > MOST_ATTRIBUTES:
-        raise ValueError(f"more than {MOST_ATTRIBUTES} attributes begin with {prefix}")
-    return list({r[0]: Attribute(*r) for r in found}.values())
+    """The declared attributes whose ident begins with ``prefix``, by id; they become part of the plan.
+
+    Of contradicting declarations of an id the one with the greatest type, then cardinality, then ident
+    counts, as in facts.declared.
+    """
+    some = attrs.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("value_type", "card", "ident")).alias("d"))
+    found = some.where(F.col("d.ident").startswith(prefix)).select("id", "d.ident", "d.value_type", "d.card").orderBy("id").collect()
+    return [Attribute(*r) for r in found]
 
 
 def column_name(ident: str) -> str:
@@ -49,10 +52,18 @@ def widen(held: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
     """One row per e of ``held`` (e, a, v, la), one column per attribute.
 
     One-valued attributes give a column of their type, null if there is no value; many-valued ones
-    the number of distinct values, 0 if there is none. All columns come from one aggregation.
+    the number of distinct values, 0 if there is none. All columns come from one aggregation, or from one
+    for each AT_ONCE attributes, whose results are joined by entity.
     """
     cols = [(n_values(a) if a.card == MANY else one_value(a)).alias(column_name(a.ident)) for a in attributes]
-    return held.groupBy("e").agg(*cols) if cols else held.select("e").distinct()
+    if len(cols) <= AT_ONCE:
+        return held.groupBy("e").agg(*cols) if cols else held.select("e").distinct()
+    out = held.select("e").distinct()
+    for i in range(0, len(cols), AT_ONCE):
+        some = attributes[i : i + AT_ONCE]
+        part = held.where(F.col("a").isin([a.id for a in some])).groupBy("e").agg(*cols[i : i + AT_ONCE])
+        out = out.join(part, "e", "left").fillna(0, [column_name(a.ident) for a in some if a.card == MANY])
+    return out
 
 
 def wide_entities(datoms: DataFrame, attrs: DataFrame, prefix: str) -> tuple[DataFrame, list[Attribute]]:
@@ -62,7 +73,8 @@ def wide_entities(datoms: DataFrame, attrs: DataFrame, prefix: str) -> tuple[Dat
     fact gives an empty table.
     """
     attributes = discover(attrs, prefix)
-    held = states(facts(datoms, attrs, [a.id for a in attributes])).where("holds")
+    ids = [a.id for a in attributes]
+    held = states(facts(datoms, attrs, ids), keys=datoms.where(F.col("a").isin(ids)).select("e", "a")).where("holds")
     return widen(held, attributes), attributes
 
 

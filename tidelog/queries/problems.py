@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.operators import asof, changefeed, eager, history, incremental, orphans, widen
+from tidelog.operators.facts import facts
+from tidelog.operators.skew import quantile_edges
+from tidelog.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +31,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(table(spark, d, "datoms"), table(spark, d, "attrs"), table(spark, d, "operations"))
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of all keys with anything that holds, kept while the log comes in two parts, the second as changes to the first."""
+    datoms, attrs = table(spark, d, "datoms"), table(spark, d, "attrs")
+    rows, middle = facts(datoms, attrs), quantile_edges(datoms.select("tx"), "tx", 2)[0]
+    known, first = orphans.apply_changes(None, rows.where(F.col("tx") < middle))
+    counts, known = cut_lineage(orphans.add_counts(first)), cut_lineage(known)
+    _, second = orphans.apply_changes(known, rows.where(F.col("tx") >= middle))
+    counts = orphans.add_counts(counts.unionByName(second))
+    return counts.where((F.col("refs") != 0) | (F.col("live") != 0)).select("key", "refs", "live", F.coalesce("born", F.lit(-1)).alias("born"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.result_changes(table(spark, d, "tx_results"), table(spark, d, "runs"))
 
@@ -44,7 +59,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p4_found, p5_found, p6_found, p7_found)}
 
 
 _VALUE = "coalesce(d.v_str, d.v_i64::varchar, d.v_u64::varchar, d.v_dec::varchar, d.v_ref::varchar)"
@@ -131,12 +146,22 @@ months AS (
 SELECT f.src, f.rec, f.kind, m.ym FROM found f LEFT JOIN months m ON m.tx = f.tx WHERE f.kind IS NOT NULL
 """
 
+P3_COUNTS = f"""
+WITH {_FACTS}, {_state("facts")},
+counted AS (
+  SELECT e AS key, 0 AS refs, 1 AS live FROM held UNION ALL SELECT v::bigint, 1, 0 FROM held WHERE vt = 5
+),
+born AS (SELECT e, min(tx) AS born FROM facts WHERE op = 0 GROUP BY e)
+SELECT key, sum(refs)::bigint AS refs, sum(live)::bigint AS live, coalesce(any_value(born), -1) AS born
+FROM counted LEFT JOIN born ON born.e = counted.key GROUP BY key
+"""
+
 P4 = """
 WITH good AS (
   SELECT run_id, cut_at FROM runs WHERE status = 'succeeded'
 ),
 content AS (
-  SELECT tx_id, arrived_at, n_datoms,
+  SELECT tx_id, arrived_at, delivery_id, n_datoms,
          list_sort(list_transform(json_keys(j), lambda k: k || '=' || json_extract_string(j, '$."' || k || '"'))) AS ids
   FROM (SELECT *, coalesce(temp_ids, '{}')::json AS j FROM tx_results)
 ),
@@ -145,7 +170,7 @@ placed AS (
 ),
 latest AS (
   SELECT tx_id, cut, n_datoms, ids FROM placed WHERE cut IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY tx_id, cut ORDER BY arrived_at DESC) = 1
+  QUALIFY row_number() OVER (PARTITION BY tx_id, cut ORDER BY arrived_at DESC, delivery_id DESC) = 1
 ),
 compared AS (
   SELECT *, row_number() OVER w AS rn, lag(n_datoms) OVER w AS n0, lag(ids) OVER w AS ids0
@@ -191,4 +216,4 @@ FROM named GROUP BY e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import values as V
+from tidelog.operators.skew import block_of, hot_keys, is_hot, partitions, quantile_edges
 from tidelog.sources.schema import ONE, Attribute, AttributeDefinition
 
 KEY_BITS = 48
@@ -114,7 +115,15 @@ def keyed_history(rows: DataFrame, key: str, order: str, value: Column, attribut
     Rows with a null are left out.
     """
     rows = rows.select(F.col(key).cast("long").alias("e"), F.col(order).cast("long").alias("tx"), value.alias("x")).dropna()
-    nxt = F.lead("tx").over(Window.partitionBy("e").orderBy("tx"))
-    both = rows.withColumn("nxt", nxt).select("e", "x", F.explode(F.array(F.struct("tx", F.lit(0).alias("op")), F.struct(F.col("nxt").alias("tx"), F.lit(1).alias("op")))).alias("t"))
+    hot = hot_keys(rows, ["e"])
+    edges = quantile_edges(rows.where(is_hot(["e"], hot)), "tx", partitions(rows)) if hot else []
+    # entities with a large share of the updates are cut by tx; the last row of a piece goes on to the next piece's first
+    rows = rows.withColumn("piece", F.when(is_hot(["e"], hot), block_of("tx", edges)).otherwise(F.lit(0)))
+    rows = rows.withColumn("nxt", F.lead("tx").over(Window.partitionBy("e", "piece").orderBy("tx")))
+    if edges:
+        firsts = rows.where(is_hot(["e"], hot)).groupBy("e", "piece").agg(F.min("tx").alias("first"))
+        firsts = firsts.withColumn("following", F.lead("first").over(Window.partitionBy("e").orderBy("piece"))).drop("first")
+        rows = rows.join(firsts, ["e", "piece"], "left").withColumn("nxt", F.coalesce("nxt", "following"))
+    both = rows.select("e", "x", F.explode(F.array(F.struct("tx", F.lit(0).alias("op")), F.struct(F.col("nxt").alias("tx"), F.lit(1).alias("op")))).alias("t"))
     both = both.where("t.tx is not null")
     return both.select("e", F.lit(attribute.id).cast("long").alias("a"), V.dynamic(attribute.type, F.col("x")).alias("v"), F.col("t.tx").alias("tx"), F.col("t.op").cast("tinyint").alias("op")).select("e", "a", "v.*", "tx", "op")
