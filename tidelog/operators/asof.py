@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import timeline
-from tidelog.operators.facts import ONE, facts
+from tidelog.operators.facts import ONE, facts, keys_of
 from tidelog.operators.skew import block_of, is_hot, partitions
 
 _ASK = 2
@@ -105,4 +105,4 @@ def read_as_of(datoms: DataFrame, attrs: DataFrame, reads: DataFrame) -> DataFra
     """(read_id, tx) of the reads (read_id, e, a, basis_tx) for which a value held at basis_tx."""
     one = facts(datoms, attrs).where(F.col("card") == ONE)
     asks = reads.select(F.col("read_id").alias("id"), "e", "a", F.col("basis_tx").alias("at"))
-    return as_of(one, asks, keys=datoms.select("e", "a", "tx")).withColumnRenamed("id", "read_id")
+    return as_of(one, asks, keys=keys_of(datoms, attrs, ONE)).withColumnRenamed("id", "read_id")

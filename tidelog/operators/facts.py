@@ -59,6 +59,11 @@ def facts(datoms: DataFrame, attrs: DataFrame, only: Sequence[int] | None = None
     )
 
 
+def keys_of(datoms: DataFrame, attrs: DataFrame, card: int) -> DataFrame:
+    """(e, a, tx) of the rows of attributes of a cardinality, facts or not: what is read to see which keys are hot."""
+    return datoms.select("e", "a", "tx").join(declared(attrs).where(F.col("card") == card).select("a"), "a", "left_semi").select("e", "a", "tx")
+
+
 def states(rows: DataFrame, hot: Sequence[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
     """One row (e, a, v, card, decl, la, lr, fa, top, holds) for each (e, a, v) of the facts ``rows``.
 

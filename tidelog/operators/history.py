@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import timeline
-from tidelog.operators.facts import ONE, facts
+from tidelog.operators.facts import ONE, facts, keys_of
 from tidelog.operators.skew import is_hot
 
 NEVER = -1
@@ -195,4 +195,4 @@ def _joined(pieces: DataFrame) -> DataFrame:
 def log_history(datoms: DataFrame, attrs: DataFrame, above: int = 6) -> DataFrame:
     """``history`` of all one-valued attributes with an id above ``above``."""
     changes = facts(datoms, attrs).where((F.col("card") == ONE) & (F.col("a") > above))
-    return history(changes, keys=datoms.select("e", "a", "tx").where(F.col("a") > above))
+    return history(changes, keys=keys_of(datoms, attrs, ONE).where(F.col("a") > above))
