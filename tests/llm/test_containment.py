@@ -50,15 +50,15 @@ def case(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("run, block", [(12, 10**6), (12, 300), (3, 10**6), (7, 10**6)])
-def test_leaks(spark, seed, run, block):
+@pytest.mark.parametrize("run, bits", [(12, 20), (12, 8), (3, 20), (7, 20)])
+def test_leaks(spark, seed, run, bits):
     docs, items = case(seed)
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit("clash")).withColumn("id", F.lit(1))
     i = spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit(1))
-    got = [tuple(x) for x in containment.leaks(d, i, run=run, block_chars=block).collect()]
+    got = [tuple(x) for x in containment.leaks(d, i, run=run, filter_bits=bits).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(docs, items, run)
-    assert containment.leaks(d.limit(0), i).count() == 0
+    assert containment.leaks(d.limit(0), i, filter_bits=12).count() == 0
     assert containment.leaks(d, i.limit(0)).count() == 0
 
 
@@ -71,3 +71,23 @@ def test_signatures_are_least_shingle_hashes():
         shingles = [containment.signatures(h[i : i + 5], 5)[0] for i in range(96)]
         assert one == [min(shingles[i : i + run - 4]) for i in range(100 - run + 1)]
     assert len(containment.signatures(h[:11], 12)) == 0
+
+
+def test_filter_misses_nothing_and_lets_little_through(spark):
+    r = np.random.default_rng(2)
+    sig = r.integers(0, 2**64, 5_000, np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in sig.view(np.int64)], "sig long").repartition(3)
+    f = containment._filter(df, 18)
+    assert len(f.words) == 2**12 and f.may_have(sig).all()
+    assert f.may_have(r.integers(0, 2**64, 100_000, np.uint64)).mean() < 0.005
+    assert not containment._filter(df.limit(0), 8).may_have(sig).any()
+
+
+def test_documents_are_read_once_however_many_items(spark, tmp_path):
+    docs, items = case(3)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    many = spark.createDataFrame([(i * 1000 + k, t) for k in range(40) for i, t in items if i is not None], "item_id long, text string")
+    got = containment.leaks(spark.read.parquet(str(tmp_path / "d")), many, filter_bits=16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert {(d, i // 1000) for d, i in map(tuple, got.collect())} == brute(docs, items, 12)

@@ -11,7 +11,6 @@ from tidelog.llm import residue
 PARTS = ["The claimant contends that", "The registrar notes that", "Counsel for the respondent recorded that", "Der Senat stellt fest, dass", "La cour relève que"]
 THINGS = ["the licence to quarry", "the interim order", "der Mietvertrag über die Mühle", "la cession de créance", "the survey of the east pier", "the notice of termination", "[name withheld]", "[REDACTED]", "█████"]
 ENDS = ["was never signed by the carrier.", "had been renewed within 14 days.", "nicht wirksam geworden ist.", "n’a pas été notifiée à chacun des héritiers.", "could not bind the creditors, see In re Hulwen, 27 KLR 404 (2004).", "did not come to the attention of the land register (omitted)."]
-#: None of these is a seed as it stands.
 RESIDUE = [
     "{{ hearing_room }}", "${clerkName}", "<%= opinion.signed_at %>", "%%witness%%", "[[docket_entry]]", "@@bailiff@@", "<<ORDER.NO>>", "#{presiding}", "{% block costs %}{% endblock %}", "«greffier»", "[INSERT VERDICT HERE]",
     "Lorem ipsum ordo carpo vallis nox terra lumen quasi dolor tempus.", "asdf qwer asdf test test bla bla xxx tbd", "Your text here. Your text here.", "Dies ist ein Blindtext. Blindtext.", "Texte d’exemple. Votre texte ici.",
@@ -19,6 +18,14 @@ RESIDUE = [
     "404 – the requested ruling was not found", "Error 502: bad gateway", "Traceback (most recent call last): KeyError: 'body'", "Cookies must be enabled before the page can be shown", "Fatal error: Uncaught exception in /opt/www/render: cannot open file", "<noscript>JavaScript is disabled.</noscript>",
     "PLEASE ENABLE\nJAVASCRIPT TO CONTINUE.",
 ]
+#: Written after the seeds were fixed, in words of their own.
+NEW = [
+    "Turn JavaScript on and reload this window.", "Scripting has been switched off in your settings.", "This viewer only works when cookies are allowed.", "We are performing scheduled maintenance, please come back in an hour.", "The file you asked for has been deleted from our server.",
+    "Your login is no longer valid; please sign in once more.", "Unhandled TypeError: cannot read property 'title' of null", "HTTP status 410: the resource is gone", "Gateway did not answer within 60 seconds, try again later.", "You lack the rights needed to open this document.",
+    "Our database is currently overloaded.", "Error while rendering the template: variable not defined", "Bitte schalten Sie JavaScript in Ihrem Browser ein.", "Die gewünschte Datei ist leider nicht mehr vorhanden.", "Aufgrund von Wartungsarbeiten ist das Portal derzeit nicht erreichbar.",
+    "Ihre Sitzung wurde aus Sicherheitsgründen beendet.", "Cookies müssen zugelassen werden, bevor der Text erscheint.", "Le fichier recherché a été supprimé du serveur.", "Merci d’autoriser JavaScript dans les réglages de votre navigateur.", "Le site est en cours de maintenance, revenez plus tard.",
+    "Votre session n’est plus active, reconnectez-vous.", "Write your summary in this box.", "Hier bitte später den richtigen Text einsetzen.", "Ce paragraphe sera rédigé plus tard.",
+]
 QUOTED = ["Exhibit 4 is a screenshot with the words “{}”, never read.", "Il n’est pas contesté que le message « {} » s’est affiché.", "Die Meldung „{}“ erschien bei 16 Abrufen."]
 
 
@@ -94,6 +101,22 @@ def test_quotations_and_fields(model, text, found):
     assert (residue._judge([residue.plain(text)], model)[0][0] > 0) == found
 
 
+def test_new_wordings(model):
+    texts = [residue.plain(f"The court notes the following. {x} The appeal is dismissed.") for x in NEW]
+    assert (residue._judge(texts, model)[0] > 0).sum() >= 0.85 * len(NEW)
+
+
+def test_seeds_hold_no_sentence_of_the_corpus(small):
+    """Of the longer texts that rules give, none stands in a document, other than what a standard says."""
+    import pyarrow.parquet as pq
+
+    from tidelog.llm import seeds
+
+    corpus = "\n".join(residue.plain(t) for t in pq.read_table(f"{small}/documents.parquet")["text"].to_pylist() if t)
+    rules = [*seeds.pairs(seeds.NOTICES), *seeds.pairs(seeds.FILLER), *seeds.LATIN]
+    assert [x for x in rules if len(x) > 24 and f" {x.rstrip('.')}." in corpus.lower()] == []
+
+
 def test_quotation_across_parts(spark):
     r = random.Random(6)
     begin = "\n".join(prose(r, 15_000))[: residue._CHUNK - 40]

@@ -7,6 +7,9 @@ their hashes. A passage of an item that a document contains has the very same sh
 containment is 1 and one hash function finds it with certainty: no leak is missed. Neighbouring
 passages mostly share their least shingle, so only about two signatures in nine differ from the one
 before. What the signatures bring up is verified by exact containment of whole ``run``-word shingles.
+
+A larger common part is found by its first passage, so one class of sizes is enough; that classes of larger
+passages need not be searched is what makes the search one pass.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from tidelog.llm.texts import slices, spread
 
 RUN = 12
 SHINGLE = 5
-#: Characters of items that are searched for at a time; larger item sets are searched block by block.
-BLOCK_CHARS = 32_000_000
+#: Bits of the filter of the items' signatures, as a power of two: 16 MB, for some ten million signatures.
+FILTER_BITS = 27
+#: Passages that a task hands on at a time.
+AT_ONCE = 20_000
 #: Words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -71,82 +76,91 @@ def signatures(hashes: np.ndarray, run: int = RUN, shingle: int = SHINGLE) -> np
     return low[:n]
 
 
-class Items:
-    """Passages of a block of items: sorted signatures, and the items of each exact passage."""
+def passages(rows: list[list[str]], run: int, known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signature of each passage of the rows of words, the row it lies in, and its first word there."""
+    lengths = np.array([len(r) for r in rows], np.int64)
+    flat = np.fromiter((known[w] for r in rows for w in r), np.uint64, int(lengths.sum()))
+    sig = signatures(flat, run)
+    ends = np.cumsum(lengths)
+    at = np.arange(len(sig))
+    row = np.searchsorted(ends, at, side="right")
+    inside = at + run <= ends[row] if len(at) else np.zeros(0, bool)  # a passage ends in its text
+    return sig[inside], row[inside], (at - (ends - lengths)[row])[inside] if len(at) else at
+
+
+def slots(sig: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a signature in a filter of 2^bits bits."""
+    mask = np.uint64((1 << bits) - 1)
+    return (sig & mask).astype(np.int64), (_spread(sig ^ _MIX) & mask).astype(np.int64)
+
 
-    def __init__(self, rows: list[tuple[int, str]], run: int):
-        self.run = run
-        self.exact: dict[tuple[str, ...], set[int]] = {}
-        seen = [np.zeros(0, np.uint64)]
-        known = _Hashes()
-        for i, text in rows:
-            w = words(text)
-            for k in range(len(w) - run + 1):
-                self.exact.setdefault(tuple(w[k : k + run]), set()).add(i)
-            seen.append(np.unique(signatures(np.array([known[x] for x in w], np.uint64), run)))
-        self.signatures = np.unique(np.concatenate(seen))
+class Filter:
+    """A Bloom filter of signatures: says no only to what isn't among them. Its size is fixed, whatever is in it."""
 
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
-def _searcher(items):
-    """A function for mapInArrow over (id, text): the (id, item) pairs of each row."""
+    def may_have(self, sig: np.ndarray) -> np.ndarray:
+        out = np.ones(len(sig), bool)
+        for p in slots(sig, self.bits):
+            out &= (self.words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return out
+
+
+def _passages(run: int, filtered=None):
+    """A function for mapInArrow over (id, text): (id, signature, passage), of the filtered ones only, once for each row."""
     known = _Hashes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it: Items = items.value
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only: Filter | None = filtered.value if filtered is not None else None
         for b in slices(batches, 4_000_000):
             if len(known) > REMEMBERED:
                 known.clear()
             rows = [words(t) for t in b.column(1).to_pylist()]
-            flat = np.fromiter((known[w] for r in rows for w in r), np.uint64, sum(map(len, rows)))
-            ends = np.cumsum([len(r) for r in rows])
-            sig = signatures(flat, it.run)
-            at = np.searchsorted(it.signatures, sig)
-            hits = np.flatnonzero(it.signatures[np.minimum(at, len(it.signatures) - 1)] == sig) if len(it.signatures) else np.zeros(0, int)
-            row = np.searchsorted(ends, hits, side="right")
-            inside = hits + it.run <= ends[row] if len(hits) else np.zeros(0, bool)  # a passage ends in its text
-            found: set[tuple[int, int]] = set()
-            for r, p in zip(row[inside].tolist(), hits[inside].tolist()):
-                k = p - (int(ends[r - 1]) if r else 0)
-                for i in it.exact.get(tuple(rows[r][k : k + it.run]), ()):
-                    found.add((r, i))
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], pa.int64())], ["id", "item"])
-
-    return run
-
-
-def item_blocks(items: DataFrame, id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most about ``most`` characters; one item of any length is a block."""
-    block: list[tuple[int, str]] = []
-    size = 0
-    rows = items.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long"), F.col(text).cast("string"))
-    for i, t in rows.toLocalIterator():
-        if block and size + len(t) > most:
-            yield block
-            block, size = [], 0
-        block.append((i, t))
-        size += len(t)
-    if block:
-        yield block
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+            sig, row, at = passages(rows, run, known)
+            if only is not None:
+                hit = only.may_have(sig)
+                sig, row, at = sig[hit], row[hit], at[hit]
+            for k in range(0, max(len(sig), 1), AT_ONCE):
+                some = slice(k, k + AT_ONCE)
+                texts = [" ".join(rows[r][i : i + run]) for r, i in zip(row[some].tolist(), at[some].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[some])), pa.array(sig[some].view(np.int64)), pa.array(texts, pa.string())], ["id", "sig", "passage"])
+
+    return each
+
+
+def _filter(sigs: DataFrame, bits: int) -> Filter:
+    """The filter of the signatures (sig): its bits are put together where the signatures are; 2^bits of them come to the driver at most."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.unique(np.concatenate(slots(b.column(0).to_numpy().view(np.uint64), bits)))
+            first = np.flatnonzero(np.append(True, (p[1:] >> 6) != (p[:-1] >> 6))) if len(p) else np.zeros(0, np.int64)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (p & 63).astype(np.uint64), first) if len(p) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((p[first] >> 6).astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+
+    got = sigs.mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["word"].to_numpy()] = got["value"].to_numpy().view(np.uint64)
+    return Filter(out, bits)
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id): the document and the item share ``run`` or more consecutive words.
 
     Each pair comes once, also if rows are repeated. Null and empty texts, texts of fewer than ``run``
     words, and rows without an id have none; other columns are ignored; either table may be empty.
 
-    The items are the stated query set, searched against all documents: block by block they become
-    signatures of a proven size and are broadcast, so the documents are read once per block (here once)
-    and never shuffled; what is shuffled for the last distinct are the found pairs.
+    The items are the stated query set, searched against all documents. However many there are, the
+    documents are read once: a filter of 2^filter_bits bits is all that is broadcast, and only passages
+    whose signature may be an item's leave the documents' tasks. They meet the items' passages by shuffle
+    (by broadcast while Spark measures the items' side to be small), word for word; a passage in very many
+    documents is one that AQE splits. A small filter for many items lets more through and changes no result.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = spread(rows)
-    found = None
-    for block in item_blocks(items, item_id, text, block_chars):
-        got = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(Items(block, run))), "id long, item long")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = spark.createDataFrame([], "id long, item long")
-    return found.distinct().toDF(doc_id, item_id)
+    side = lambda df, id: spread(df.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")))
+    out = "id long, sig long, passage string"
+    held = side(items, item_id).mapInArrow(_passages(run), out)
+    known = spark.sparkContext.broadcast(_filter(held.select("sig"), filter_bits))
+    found = side(docs, doc_id).mapInArrow(_passages(run, known), out).toDF("doc", "sig", "passage")
+    return found.join(held.toDF("item", "sig", "passage").distinct(), ["sig", "passage"]).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()

@@ -3,7 +3,7 @@
 Models of hashed character 5-grams are fitted: of natural prose from the whole corpus, in which a
 repeated sentence that may be residue counts once, so that an error page isn't learnt as prose however
 many rows hold it; and of residue (unfilled fields, filler, notices of a failing or script-demanding site)
-from the seed texts below.
+from the rules in seeds.py, which hold no text of any corpus.
 The log-likelihood ratio of each residue model to prose is added up over windows; a window whose ratio
 exceeds a threshold is residue. Fields have a second model over the shape of the text, in which each
 name is one character, so that any name may stand in a field. Passages in quotation marks are quoted,
@@ -23,18 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import seeds as seed_texts
 from tidelog.llm.texts import slices, spread
 
 GRAM = 5
 BITS = 18
 #: Window lengths in characters.
 WINDOWS = (8, 16, 32)
-#: Log-likelihood ratio that a window must exceed, by kind.
+#: Log-likelihood ratio that a window must exceed, by kind. Were grams independent, prose would exceed t with a
+#: probability of less than e^-t, 5e-12 for 26: none in a corpus of 10^11 windows. Fields are told by few
+#: characters, so theirs is lower; made-up rulings (tests/llm) and no row of a corpus were looked at for it.
 THRESHOLDS = {"field": 11.0, "filler": 26.0, "notice": 26.0}
 #: The same for the shape of the text, where a window of three grams holds a field.
 SHAPE_WINDOWS = (3, 6)
 SHAPE_THRESHOLD = 9.0
-#: A quotation is at most this long; text between marks further apart is judged like any other.
+#: A quotation is at most this long; text between marks further apart is judged like any other, as a mark that is
+#: missing or stray would else hide all that follows it.
 LONGEST_QUOTE = 300
 #: Log probability below which prose counts as this improbable, so that rare words aren't residue.
 FLOOR = -12.0
@@ -46,50 +50,12 @@ SHAPE_MOST = 8.0
 _CHUNK, _OVERLAP = 1_000_000, 256
 #: At most so many repeated sentences are known, the most frequent ones, each by at most its first _LONGEST characters.
 REPEATED, _LONGEST = 50_000, 2_000
-#: Log-likelihood ratio a gram from which a sentence may be residue as a whole.
-SUSPECT = 1.6
+#: Log-likelihood ratio a gram from which a sentence may be residue as a whole. What a sentence that isn't suspect
+#: loses is nothing; what one that is, and stands in rulings often, loses is its weight as prose.
+SUSPECT = 2.5
 #: Between texts, longer than any window reaches.
 _GAP = "\n" * 40
 
-FIELD_FORMS = """{{x}}; {{ x }}; {{{x}}}; ${x}; $(x); #{x}; <%= x %>; <%= ruling.x %>; <%= doc.x %>; <% x %>; <%x%>; {% x %}; {% block x %}{% endblock %}; {% if x %}{% endif %};
-{% include x %}; %%x%%; %x%; @@x@@; @x@; ##x##; <<x>>; <<x.x>>; «x»; [[x]]; [%x%]; {$x}; __x__; ~~x~~; <x/>; [x here]; [your x]; [insert x here]; [insert x]; <insert x here>; (insert x here);
-[enter x here]; [add x]; [placeholder x]; [fill in x]; [x einfügen]; [hier x einfügen]; [bitte x eintragen]; [x eintragen]; [insérer x ici]; [x à compléter]; [insérer le x ici];
-[ajouter x]; [hier text einfügen]; [insérer le texte ici]; [insert text here]; {x}; {x_name}; [x_placeholder]""".replace("\n", " ").split("; ")
-FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam
-quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore
-eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
-lorem ipsum amara carpo dolor fundo lumen luctor nidus nox obtus ordo pagina pulvis quasi remex salis tempus terra tessera vallis ager verbum vinum
-lorem ipsum terra quasi ordo vinum lumen. salis nox tempus fundo carpo amara. luctor pulvis remex vallis obtus verbum ager. nidus tessera pagina dolor
-vivamus maecenas pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas curabitur pharetra vestibulum ante primis faucibus
-this is dummy text. this is placeholder text. placeholder text goes here. your text here. your text goes here. text goes here. text here. sample text. sample text here.
-sample content. example text. example paragraph. type your text here. write something here. add your content here. content goes here. content coming soon. coming soon.
-insert text. insert your text. filler text. filler content. dummy content. to be completed. to be determined. to be added. tbd tbd tbd. tba tba. todo todo. todo: write this section.
-xxx xxx xxx xxxx xxxxx. test test test test. test text. testing testing. this is a test. just a test. asdf asdf asdf asdf. asdfgh asdf jkl. qwer qwer qwerty qwertz. qwer asdf yxcv. foo bar baz foo bar.
-bla bla bla bla. blah blah blah blah. bla bla test xxx tbd asdf qwer test bla bla. test tbd qwer xxx test asdf bla bla. abc abc abc. 123 test. aaa bbb ccc.
-dies ist ein blindtext. blindtext blindtext. ein blindtext. das ist ein beispieltext. beispieltext beispieltext. hier steht ein text. hier steht ihr text. hier steht später der text. platzhalter platzhaltertext.
-hier kommt text hin. mustertext. text folgt. inhalt folgt. noch kein inhalt vorhanden. fülltext. ihr text hier. beispielinhalt.
-texte d'exemple. texte d’exemple. exemple de texte. votre texte ici. texte ici. texte à venir. ceci est un texte d'exemple. ceci est un texte de remplissage. faux texte. texte factice. contenu à venir. insérez votre texte ici.""".split("\n")
-NOTICES = """404 not found. error 404. 404 – page not found. 404 – the requested page was not found. the requested document was not found. the requested judgment was not found. the requested url was not found on this server.
-page not found. the page you are looking for does not exist. the page you requested could not be found. the document you are looking for has been moved or deleted. the document you are looking for is not available. file not found. no such file or directory.
-500 internal server error. error 500: internal server error. an internal error occurred. an unexpected error has occurred. something went wrong. oops, something went wrong. please try again later. please retry later.
-502 bad gateway. 503 service unavailable. service unavailable. please retry later. service temporarily unavailable. 504 gateway timeout. the server is temporarily unable to service your request. the site is down for maintenance. under maintenance. we will be back soon.
-403 forbidden. access denied. access to this resource is denied. you do not have permission to view this resource. you do not have permission to access this page. you are not authorized. unauthorized. login required. please log in again. please sign in to continue. please log in to view this page.
-your session has expired. your session has timed out. please log in again. too many requests. slow down. rate limit exceeded. request blocked. request blocked by the gateway, reference 3f9a. your request has been blocked. your ip address has been blocked. 429 too many requests.
-the connection was reset. the connection has timed out. connection refused. this site can't be reached. network error. connection timed out. the connection was interrupted. err_connection_reset. dns error.
-database connection failed (timeout after 30 s). database error. error establishing a database connection. could not connect to database. query failed. sql error. mysql error.
-fatal error: uncaught exception in /srv/portal/view: cannot open record. fatal error: uncaught exception in /var/www/index. warning: undefined variable in /var/www/html on line 12. stack trace. exception in thread. unhandled exception. parse error: syntax error, unexpected.
-traceback (most recent call last): rendererror: no body for record. traceback (most recent call last): file line in module. valueerror: invalid value. keyerror: typeerror: cannot read property of undefined. nullpointerexception. runtimeerror. segmentation fault. null undefined nan.
-please enable javascript to view this page. please enable javascript to view this judgment. please enable javascript to continue. you need to enable javascript to run this app. you need to turn on javascript in your browser to run this application. javascript is required. javascript is disabled in your browser. javascript is disabled. the ruling cannot be displayed. the page cannot be displayed.
-this page requires javascript and cookies. this site requires javascript. this site requires cookies. your browser does not support javascript. your browser does not support scripts. scripts must be allowed. please allow scripts. please turn on scripts. enable scripts to continue. this content requires scripts to be enabled.
-please enable cookies. cookies are disabled. cookies must be enabled. cookies must be accepted before the decision can be shown. please accept cookies to continue. we use cookies. accept all cookies. checking your browser before you proceed. checking your browser before accessing. verify you are human. complete the captcha.
-<html><head><title></title></head><body><p></p></body></html> <noscript></noscript> <!doctype html> <div class="error"></div> <h1>error</h1> <br/> <script></script>
-seite nicht gefunden. die angeforderte seite wurde nicht gefunden. dokument nicht gefunden (fehler 404). die entscheidung wurde nicht gefunden. das dokument existiert nicht mehr. interner serverfehler. fehler 500. ein fehler ist aufgetreten. bitte versuchen sie es später erneut. dienst nicht verfügbar. wartungsarbeiten.
-zugriff verweigert. zugriff verweigert – bitte melden sie sich an. sie haben keine berechtigung. bitte melden sie sich erneut an. ihre sitzung ist abgelaufen. zu viele anfragen. verbindung fehlgeschlagen. datenbankfehler. zeitüberschreitung.
-bitte aktivieren sie javascript. bitte aktivieren sie javascript, um das urteil anzuzeigen. bitte aktivieren sie javascript, um fortzufahren. javascript ist deaktiviert. diese seite benötigt javascript. diese seite funktioniert nur mit eingeschalteten skripten. ihr browser unterstützt keine skripte. bitte cookies zulassen. cookies sind deaktiviert. browser wird überprüft.
-page introuvable. la décision demandée n’existe pas ou plus. la page demandée n’existe pas. le document demandé est introuvable. document non trouvé. erreur 404. erreur interne du serveur. erreur 500. une erreur est survenue. veuillez réessayer plus tard. service indisponible. maintenance en cours.
-accès refusé. vous n’avez pas l’autorisation. veuillez vous connecter. veuillez vous reconnecter. votre session a expiré. trop de requêtes. connexion impossible. erreur de base de données. délai dépassé.
-veuillez activer javascript. veuillez activer javascript pour afficher l’arrêt. veuillez activer javascript pour continuer. javascript est désactivé. cette page nécessite javascript. votre navigateur ne prend pas en charge les scripts. votre navigateur ne prend pas en charge javascript. veuillez accepter les cookies. les cookies sont désactivés. vérification de votre navigateur.""".split("\n")
-
 
 #: Stands for each character of a quotation.
 _HIDDEN = "\ue001"
@@ -112,7 +78,7 @@ def filled(forms: list[str], names: list[str]) -> str:
 
 def shape_grams() -> list[str]:
     """The shapes' grams that hold a mark; without one, a gram is as likely in prose."""
-    marked = [f for f in FIELD_FORMS if not re.match(r"\[[^\[%]|\(|[{<]x|__|~~|%x%|@x@|<insert", f)]
+    marked = [f for f in seed_texts.FIELDS if not re.match(r"\[[^\[%]|\(|[{<]x|__|~~|%x%|@x@|<insert", f)]
     text = plain(filled([c.replace("{}", f) for f in marked for c in _AROUND], ["a"]))
     letters = "".join(map(chr, shape(codes(text))[0].tolist()))
     return [g for g in (letters[i : i + GRAM] for i in range(len(letters) - GRAM + 1)) if _MARKS.search(g)]
@@ -120,7 +86,7 @@ def shape_grams() -> list[str]:
 
 def seeds() -> dict[str, str]:
     """The text that each residue model is fitted on."""
-    return {"field": filled(FIELD_FORMS, [_ANY]), "filler": " ".join(FILLER), "notice": " ".join(NOTICES)}
+    return {"field": filled(seed_texts.FIELDS, [_ANY]), "filler": ". ".join(seed_texts.filler()), "notice": ". ".join(seed_texts.notices())}
 
 
 _QUOTES = re.compile(
@@ -287,7 +253,7 @@ def prose_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     rows = spread(docs.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()))
     counts = rows.mapInArrow(_count, "gram int, sentence string, n long").groupBy("gram", "sentence").agg(F.sum("n").alias("n")).persist()
     try:
-        # one row per hash, seen or not, so what comes to the driver has the same size whatever the corpus
+        # one row per hash, seen or not: 2^(BITS+1) rows come to the driver at any size of the corpus
         every = docs.sparkSession.range(2 << BITS).select(F.col("id").cast("int").alias("gram"))
         got = every.join(counts.where(F.col("gram").isNotNull()), "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
         many = counts.where(F.col("gram").isNull() & (F.col("n") > 1)).select("sentence", "n")
