@@ -25,7 +25,7 @@ def plain():
 
 @pytest.fixture(scope="module")
 def enc():
-    return encode.Encoder(PATH)
+    return encode.Encoder(encode.read_file(PATH))
 
 
 def some_texts(seed, n=300):
@@ -80,3 +80,14 @@ def test_table(spark, plain):
     want = sorted(((i, plain.encode_ordinary(t or "")) for i, t in rows), key=str)
     assert sorted(map(lambda r: (r[0], list(r[1])), got.collect()), key=str) == want
     assert encode.encode(docs.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_files_of_other_rules_are_refused():
+    import json
+
+    with pytest.raises(ValueError, match="Sequence"):
+        encode.Encoder(encode.read_file(f"{encode.TOKENIZERS}/word_bpe_49k.json"))
+    spec = json.loads(encode.read_file(PATH))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    with pytest.raises(ValueError, match="add_prefix_space"):
+        encode.checked(json.dumps(spec).encode())

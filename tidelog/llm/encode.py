@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.texts import slices, spread
 
 TOKENIZERS = os.environ.get("TIDELOG_TOKENIZERS", "/opt/tokenizers")
-#: Fixed value: how byte-level tokenizers of this family cut text into pieces.
+#: Fixed value: how byte-level tokenizers whose file says use_regex cut text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -37,12 +37,31 @@ def _bytes_of_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def checked(data: bytes) -> dict:
+    """The content of a tokenizer file (JSON), if it is one whose rules are those of Encoder; others are refused."""
+    spec = json.loads(data)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wanted = {
+        "model.type": (model.get("type"), "BPE"), "pre_tokenizer.type": (before.get("type"), "ByteLevel"), "pre_tokenizer.use_regex": (before.get("use_regex", True), True), "pre_tokenizer.add_prefix_space": (before.get("add_prefix_space"), False),
+        "normalizer": (spec.get("normalizer"), None), "dropout": (model.get("dropout"), None), "continuing_subword_prefix": (model.get("continuing_subword_prefix") or None, None), "end_of_word_suffix": (model.get("end_of_word_suffix") or None, None),
+        "byte_fallback": (bool(model.get("byte_fallback")), False), "ignore_merges": (bool(model.get("ignore_merges")), False),
+    }
+    wrong = {k: x for k, (x, y) in wanted.items() if x != y}
+    if wrong:
+        raise ValueError(f"no byte-level tokenizer of this kind: {wrong}")
+    return spec
+
+
+def read_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
-    """A byte-pair vocabulary with its merges, read from a tokenizer file (JSON)."""
+    """A byte-pair vocabulary with its merges, from the content of a tokenizer file (JSON)."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, data: bytes):
+        model = checked(data)["model"]
         byte = _bytes_of_chars()
         raw = lambda s: bytes(byte[c] for c in s)
         special = set()
@@ -198,9 +217,9 @@ class Encoded:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(data: bytes) -> Encoder:
     """One encoder for each worker and file."""
-    return Encoder(path)
+    return Encoder(data)
 
 
 def encode(docs: DataFrame, id: str, text: str, path: str, ids: str = "ids") -> DataFrame:
@@ -208,11 +227,15 @@ def encode(docs: DataFrame, id: str, text: str, path: str, ids: str = "ids") ->
 
     Null and empty texts have an empty list. Strings that look like special tokens are ordinary text.
     Each row gives one row, repeated rows and null ids included; other columns are ignored. There is
-    no shuffle; a worker holds the vocabulary and a bounded memory of pieces, whatever the corpus.
+    no shuffle; a worker holds the vocabulary and a bounded memory of pieces, whatever the corpus. The
+    file at ``path`` is read and checked by the driver and broadcast (1.5 MB).
     """
+    data = read_file(path)
+    checked(data)
+    shipped = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shipped.value)
         for b in slices(batches, 2_000_000):
             flat: list[int] = []
             ends = [0]
