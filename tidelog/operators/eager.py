@@ -44,8 +44,9 @@ def joined_counts(left: DataFrame, right: DataFrame, key: str, by: str, measure:
     Equal to joining all rows and grouping by ``by``, but the join sees one row per key of the left
     and one per (key, by) of the right: pair counts are products of counts, sums are multiplied by
     the other side's count. Null keys meet nothing; a null ``by`` is a group; null measures add 0 to
-    a sum that is null only if all are.
+    a sum that is null only if all are. Products are decimals of 38 digits, as pairs outgrow 64 bits.
     """
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
     few = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("s"))
     other = right.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"), F.col(by).alias("by")).agg(F.count(F.lit(1)).alias("m"))
-    return few.join(other, "k").groupBy(F.col("by").alias(by)).agg(F.sum(F.col("n") * F.col("m")).alias("rows"), F.sum(F.col("s") * F.col("m")).alias("total"))
+    return few.join(other, "k").groupBy(F.col("by").alias(by)).agg(F.sum(wide("n") * wide("m")).alias("rows"), F.sum(wide("s") * wide("m")).alias("total"))

@@ -20,6 +20,7 @@ from tidelog.session import checkpoint_dir, cut_lineage
 from tidelog.sources.importer import star_tables
 from tidelog.sources.log import DatomLog, FrameLog, ParquetLog
 from tidelog.sources.schema import AttributeDefinition
+from tidelog.streaming.ingest import append_to_log, datom_files
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -97,6 +98,18 @@ def q_log_compact(spark, d):
     return log.frame().groupBy("a", "op").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.lit(len(log.parts())).cast("long"))
 
 
+@_query("SELECT a, op, count(*) AS n FROM (SELECT DISTINCT * FROM datoms) GROUP BY a, op")
+def q_log_stream(spark, d):
+    """The datoms' files as a stream that is appended to a log; started a second time from nothing, it changes nothing.
+
+    A pattern names the table, as a stream reads folders or patterns and not a single file.
+    """
+    log = ParquetLog(spark, _new_path(spark), bootstrap=False)
+    for _ in range(2):
+        append_to_log(datom_files(spark, f"{d}/[d]atoms.parquet"), log, "datoms", f"{_new_path(spark)}-stream").awaitTermination()
+    return log.frame().groupBy("a", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
 # transactions: the submitted operations as one bulk transaction after the log of facts
 
 

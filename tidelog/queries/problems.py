@@ -50,6 +50,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return eager.attribute_totals(table(spark, d, "datoms"), table(spark, d, "attrs"))
 
 
+def p5_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of reads and log rows about one attribute, and the sum of the reads' basis over them, by the rows' type."""
+    got = eager.joined_counts(table(spark, d, "snapshot_reads"), table(spark, d, "datoms"), "a", "vt", "basis_tx")
+    return got.select(F.col("vt").cast("int").alias("vt"), F.col("rows").cast("long").alias("pairs"), F.col("total").cast("long").alias("total"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return asof.read_as_of(table(spark, d, "datoms"), table(spark, d, "attrs"), table(spark, d, "snapshot_reads"))
 
@@ -59,7 +65,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p4_found, p5_found, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p4_found, p5_found, p5_joined, p6_found, p7_found)}
 
 
 _VALUE = "coalesce(d.v_str, d.v_i64::varchar, d.v_u64::varchar, d.v_dec::varchar, d.v_ref::varchar)"
@@ -186,6 +192,10 @@ SELECT a, count(*) AS n_facts, count(DISTINCT e) AS n_entities, min(tx) AS first
 FROM facts GROUP BY a
 """
 
+P5_JOINED = """
+SELECT d.vt::int AS vt, count(*) AS pairs, sum(r.basis_tx)::bigint AS total FROM snapshot_reads r JOIN datoms d ON d.a = r.a GROUP BY d.vt
+"""
+
 P6 = f"""
 WITH {_FACTS}, one AS (SELECT * FROM facts WHERE card = 0),
 reads AS (SELECT DISTINCT read_id, e, a, basis_tx FROM snapshot_reads WHERE basis_tx IS NOT NULL),
@@ -216,4 +226,4 @@ FROM named GROUP BY e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p5_joined": P5_JOINED, "p6_found": P6, "p7_found": P7}
