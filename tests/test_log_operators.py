@@ -88,8 +88,10 @@ def test_as_of(log, share, blocks, least, monkeypatch, spark):
     reads += r.sample(reads, 30) + [(None, 100, 8, 50), (900, None, 8, 50), (901, 100, None, 50)]
     asks = spark.createDataFrame(reads, "id long, e long, a long, at long").withColumn("tx", F.lit("clash"))
     try:
-        got = asof.as_of(facts(datoms, attrs).where("card = 0"), asks, share, blocks, 3).collect()
-        assert sorted(map(tuple, got)) == sorted(want)
+        for broadcast in (timeline.BROADCAST_BLOCKS, 0):
+            monkeypatch.setattr(timeline, "BROADCAST_BLOCKS", broadcast)
+            got = asof.as_of(facts(datoms, attrs).where("card = 0"), asks, share, blocks, 3).collect()
+            assert sorted(map(tuple, got)) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -123,8 +125,9 @@ def test_totals(log):
         mine = [r for r in whole if r[1] == a]
         txs = [r[8] for r in mine if r[8] is not None]
         want[a] = (len(mine), len({r[0] for r in mine if r[0] is not None}), min(txs), max(txs))
-    got = {r[0]: tuple(r[1:]) for r in eager.attribute_totals(datoms, attrs).collect()}
-    assert got == want
+    for share in (None, 0.2, 1.0):
+        got = {r[0]: tuple(r[1:]) for r in eager.attribute_totals(datoms, attrs, share).collect()}
+        assert got == want
 
 
 def test_joined_counts(spark):

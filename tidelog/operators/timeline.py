@@ -45,16 +45,18 @@ def blocked(changes: DataFrame, hot: Sequence[int], edges: Sequence[int]) -> Dat
     """
     if not hot:
         return changes.withColumn("block", F.lit(0))
-    cold = changes.where(~is_hot(KEY, hot)).withColumn("block", F.lit(0))
-    some = changes.where(is_hot(KEY, hot)).withColumn("own", block_of("tx", edges) + 1)
+    own = changes.withColumn("own", F.when(is_hot(KEY, hot), block_of("tx", edges) + 1).otherwise(F.lit(0)))
+    some = own.where(F.col("own") > 0)
     later = Window.partitionBy(*KEY).orderBy("own").rowsBetween(1, Window.unboundedFollowing)
     known = some.groupBy(*KEY, "own").agg(F.max(F.when(F.col("op") == 0, F.col("tx"))).alias("top"))
     known = known.withColumn("following", F.min(F.when(F.col("top").isNotNull(), F.col("own"))).over(later))
-    if len(hot) * (len(edges) + 1) <= BROADCAST_BLOCKS:
-        known = F.broadcast(known)
     last = F.when(F.col("top") > F.col("tx"), F.col("own")).otherwise(F.coalesce(F.col("following"), F.lit(len(edges) + 1)))
-    some = some.join(known, [*KEY, "own"]).withColumn("block", F.explode(F.sequence(F.col("own"), last)))
-    return cold.unionByName(some.select(*cold.columns))
+    blocks = F.when(F.col("own") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("own"), last))
+    names = [*changes.columns, "block"]
+    if len(hot) * (len(edges) + 1) <= BROADCAST_BLOCKS:  # one scan for all rows
+        return own.join(F.broadcast(known), [*KEY, "own"], "left").withColumn("block", F.explode(blocks)).select(*names)
+    cold = changes.where(~is_hot(KEY, hot)).withColumn("block", F.lit(0))
+    return cold.unionByName(some.join(known, [*KEY, "own"]).withColumn("block", F.explode(blocks)).select(*names))
 
 
 def regrouped(batches: Iterator[pa.RecordBatch], least: int = 50_000, least_bytes: int = 32_000_000) -> Iterator[tuple[pa.Table, bool]]:
