@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.facts import declared, facts, states
+from tidelog.operators.facts import facts, states
+from tidelog.session import written
 
 REF = 5
 
@@ -55,6 +56,13 @@ def apply_changes(known: DataFrame | None, changes: DataFrame, keys: DataFrame |
     return rest.unionByName(after), count_deltas(before, after)
 
 
+def _reduced(held: DataFrame) -> DataFrame:
+    """Of states, what counts and references are made from: of a fact that is no reference that holds, only its e, when it began and whether it holds."""
+    ref = (F.col("decl") == REF) & F.col("holds")
+    only = lambda c: F.when(ref, c)
+    return held.where(F.col("fa").isNotNull()).select("e", only(F.col("a")).alias("a"), only(F.col("v").try_cast("long")).alias("v"), only(F.col("la")).alias("la"), "fa", "holds", "decl")
+
+
 def add_counts(deltas: DataFrame) -> DataFrame:
     """(key, refs, live, born, oldest) per key; deltas and earlier counts may be added in any order.
 
@@ -109,9 +117,10 @@ def orphans(datoms: DataFrame, attrs: DataFrame, operations: DataFrame) -> DataF
 
     ym is null for a tx without a time. Repeated rows count once. A row of datoms with a null attribute
     refers to nothing; an operation with a null attribute name refers to a name that does not exist.
+    What the states say of references and existence is written once and read for both.
     """
-    held, deltas = apply_changes(None, facts(datoms, attrs), datoms.select("e", "a"))
-    of_values = orphan_references(held, add_counts(deltas)).select(F.lit("datoms.v_ref").alias("src"), F.concat_ws(":", "e", "a", "v", "la").alias("rec"), "kind", F.col("la").alias("tx"))
+    held = written(_reduced(apply_changes(None, facts(datoms, attrs), datoms.select("e", "a"))[0]))
+    of_values = orphan_references(held, add_counts(count_deltas(None, held))).select(F.lit("datoms.v_ref").alias("src"), F.concat_ws(":", "e", "a", "v", "la").alias("rec"), "kind", F.col("la").alias("tx"))
     rows = datoms.where(F.col("a").isNotNull()).select("e", "a", "tx")
     of_ids = attribute_orphans(rows, attrs).select(F.lit("datoms.a").alias("src"), F.concat_ws(":", "e", "a", "tx").alias("rec"), "kind", "tx")
     of_names = name_orphans(operations, attrs).select(F.lit("operations.attr_ident").alias("src"), F.col("op_id").cast("string").alias("rec"), "kind", "tx")

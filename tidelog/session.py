@@ -1,8 +1,9 @@
-"""Things that depend on the session: the folder for checkpoints."""
+"""Things that depend on the session: the folder for checkpoints and tables between steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder and goes on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, for what is read more than once; by columns, so smaller than a checkpoint.
+
+    The tables stay until somebody empties the folder, as a result may be read at any time.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
