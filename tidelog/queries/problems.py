@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import asof, changefeed, eager, history, incremental, orphans, widen
 from tidelog.operators.facts import facts
 from tidelog.operators.skew import quantile_edges
-from tidelog.session import cut_lineage
+from tidelog.session import checkpoint_dir, cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.result_changes(table(spark, d, "tx_results"), table(spark, d, "runs"))
 
 
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    """The latest result of each transaction in a table that four runs over the growing deliveries have kept, one of which fails first."""
+    results, runs = table(spark, d, "tx_results"), table(spark, d, "runs").where("status = 'succeeded'")
+    cuts = runs.agg(F.percentile(F.unix_micros("cut_at"), F.array(*[F.lit(x / 4) for x in (1, 2, 3, 4)])).alias("c")).first().c or []
+    kept = incremental.IncrementalTable(spark, f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}", "tx_id")
+
+    def latest(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy("bucket", "tx_id").agg(F.max(F.struct("arrived_at", "delivery_id", "n_datoms")).alias("x"))
+        return last.select("bucket", "tx_id", "x.delivery_id", "x.n_datoms")
+
+    def fails(rows: DataFrame) -> DataFrame:
+        raise InterruptedError
+
+    for i, cut in enumerate(cuts):
+        source = results.where(F.unix_micros("arrived_at") <= int(cut))
+        if i == 2:
+            try:
+                kept.run(str(i), source, fails)
+            except InterruptedError:
+                pass
+        kept.run(str(i), source, latest)
+    return kept.read().select("tx_id", "delivery_id", "n_datoms")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return eager.attribute_totals(table(spark, d, "datoms"), table(spark, d, "attrs"))
 
@@ -65,7 +90,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p4_found, p5_found, p5_joined, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p4_found, p4_table, p5_found, p5_joined, p6_found, p7_found)}
 
 
 _VALUE = "coalesce(d.v_str, d.v_i64::varchar, d.v_u64::varchar, d.v_dec::varchar, d.v_ref::varchar)"
@@ -186,6 +211,12 @@ SELECT g.run_id, c.tx_id FROM compared c JOIN good g ON g.cut_at = c.cut
 WHERE c.rn = 1 OR c.n_datoms IS DISTINCT FROM c.n0 OR c.ids IS DISTINCT FROM c.ids0
 """
 
+P4_TABLE = """
+SELECT tx_id, delivery_id, n_datoms FROM tx_results
+WHERE arrived_at <= (SELECT max(cut_at) FROM runs WHERE status = 'succeeded')
+QUALIFY row_number() OVER (PARTITION BY tx_id ORDER BY arrived_at DESC, delivery_id DESC) = 1
+"""
+
 P5 = f"""
 WITH {_FACTS}
 SELECT a, count(*) AS n_facts, count(DISTINCT e) AS n_entities, min(tx) AS first_tx, max(tx) AS last_tx
@@ -226,4 +257,4 @@ FROM named GROUP BY e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p5_joined": P5_JOINED, "p6_found": P6, "p7_found": P7}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_counts": P3_COUNTS, "p4_found": P4, "p4_table": P4_TABLE, "p5_found": P5, "p5_joined": P5_JOINED, "p6_found": P6, "p7_found": P7}
