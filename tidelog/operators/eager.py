@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.facts import value_text
+from tidelog.operators.skew import hot_keys, is_hot
 
 
-def attribute_totals(datoms: DataFrame, attrs: DataFrame) -> DataFrame:
+def attribute_totals(datoms: DataFrame, attrs: DataFrame, share: float | None = None) -> DataFrame:
     """(a, n_facts, n_entities, first_tx, last_tx) for each attribute that has a fact.
 
     A fact is a distinct row of a declared attribute in the declared type, assert or retract. Repeats
@@ -21,15 +22,22 @@ def attribute_totals(datoms: DataFrame, attrs: DataFrame) -> DataFrame:
     null a, and attributes without a declaration or a fact, give no row. Repeated declarations count
     once; if an attribute is declared with two types, facts of both count.
 
-    Rows meet first by all their columns (an even spread whatever the keys), are then counted per
-    (a, type, e) before they move again, and per (a, type) after that. The state that is joined has
-    one row per (a, type); so has the one of the declarations.
+    Rows move once, by (a, e): repeats are removed, and rows counted per (a, type, e), where they meet.
+    Those of an (a, e) with a large share meet by all their columns instead (an even spread whatever the
+    keys), and are counted per (a, type, e) before they move again. What then moves is one count per task
+    and (a, type). The state that is joined has one row per (a, type); so has the one of the declarations.
     """
-    whole = ["a", "vt", "e", "v", "tx", "op"]
+    whole, key = ["a", "vt", "e", "v", "tx", "op"], ["a", "e"]
     rows = datoms.where(F.col("a").isNotNull() & F.col("vt").isNotNull())
-    once = rows.select("a", "vt", "e", value_text().alias("v"), "tx", "op").groupBy(*whole).agg(F.lit(1).alias("one"))
-    by_entity = once.groupBy("a", "vt", "e").agg(F.count(F.lit(1)).alias("n"), F.min("tx").alias("lo"), F.max("tx").alias("hi"))
-    left = by_entity.groupBy("a", "vt").agg(F.sum("n").alias("n"), F.count("e").alias("ne"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    hot = is_hot(key, hot_keys(rows.select(*key), key, share))
+    rows = rows.select("a", "vt", "e", value_text().alias("v"), "tx", "op")
+
+    def by_entity(once: DataFrame) -> DataFrame:
+        return once.groupBy("a", "vt", "e").agg(F.count(F.lit(1)).alias("n"), F.min("tx").alias("lo"), F.max("tx").alias("hi"))
+
+    cold = by_entity(rows.where(~hot).repartition(*key).groupBy(*whole).agg(F.lit(1).alias("one")))
+    counts = cold.unionByName(by_entity(rows.where(hot).groupBy(*whole).agg(F.lit(1).alias("one"))))
+    left = counts.groupBy("a", "vt").agg(F.sum("n").alias("n"), F.count("e").alias("ne"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     right = attrs.groupBy(F.col("id").alias("a"), F.col("value_type").alias("vt")).agg(F.count(F.lit(1)).alias("declared"))
     return (
         left.join(right, ["a", "vt"])
