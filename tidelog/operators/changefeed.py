@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.facts import MANY, declared, states, value_text
 from tidelog.operators.skew import hot_keys, quantile_edges
-from tidelog.session import cut_lineage
+from tidelog.session import written
 
 #: A batch is worked through in shuffle partitions like any table, so none has to fit anywhere; more of them only
 #: find more of the older changes settled, and each costs a pass over the part of the feed with its tx.
@@ -63,7 +63,7 @@ def resolve(feed: DataFrame, base: DataFrame | None = None, batches: int = BATCH
         image = F.when(F.col("top") & holds, "image").when(F.col("top"), "ended").otherwise("gone")
         new = now.select("e", "a", "slot", "v", "card", F.col("la").alias("tx"), image.alias("mark"))
         # an assert that was ended also buries older asserts of its value, as its slot is settled
-        new = cut_lineage(new)
+        new = written(new)
         settled = new if settled is None else settled.unionByName(new)
     images = settled.where(F.col("mark") == "image").select("e", "a", "v", "card", "tx")
     if base is None:
