@@ -57,6 +57,7 @@ def test_hot_keys(spark):
     assert skew.hot_keys(df, ["k"], 0.1) == sorted([h[1], h[2]])
     assert skew.hot_keys(df, ["k"], 0.9) == [] == skew.hot_keys(df.limit(0), ["k"])
     assert skew.hot_share(df) <= skew.HOT_SHARE
+    assert len(skew.hot_keys(df, ["k"], 1e-7)) == len(h)  # beyond what a summary can track
     few = spark.createDataFrame([(5, 5)] * 3 + [(6, 1)], "k long, x long")
     assert [len(x) for x in skew.all_hot_keys([df, few, few.limit(0)], ["k"], 0.2)] == [1, 2, 0]
     many = [r.h for r in spark.range(300).select(skew.key_hash(["id"]).alias("h")).collect()]

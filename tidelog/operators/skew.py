@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 400
 #: Counters of a summary at least, and for each key that can be hot; counts are too high by at most about 3.5/counters of all rows.
 TRACKED, TRACKED_A_KEY = 10_000, 8
+#: Spark's own limit to the counters of a summary: from 125,000 shuffle partitions on there are fewer for each key.
+MOST_TRACKED = 1_000_000
 
 
 def key_hash(cols: Sequence[str | Column]) -> Column:
@@ -44,9 +46,9 @@ def all_hot_keys(dfs: Sequence[DataFrame], cols: Sequence[str | Column], share:
     empty table gives an empty list.
     """
     share = share or hot_share(dfs[0])
-    most = math.ceil(1 / share)
+    most = min(math.ceil(1 / share), MOST_TRACKED)
     rows = reduce(DataFrame.unionAll, [df.select(F.lit(i).alias("side"), key_hash(cols).alias("k")) for i, df in enumerate(dfs)])
-    counters = max(TRACKED, TRACKED_A_KEY * most)
+    counters = min(max(TRACKED, TRACKED_A_KEY * most), MOST_TRACKED)
     of_group = rows.groupBy("side", _group(rows)).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(k, {counters})").alias("s"))
     whole = of_group.groupBy("side").agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
     got = {r.side: r for r in whole.select("side", "n", F.expr(f"approx_top_k_estimate(s, {most})").alias("top")).collect()}
