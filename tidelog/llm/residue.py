@@ -48,7 +48,7 @@ UNIT = 64
 LEAST, MOST = -4.0, {"field": 8.0, "filler": 5.0, "notice": 5.0}
 SHAPE_MOST = 8.0
 _CHUNK, _OVERLAP = 1_000_000, 256
-#: At most so many repeated sentences are known, the most frequent ones, each by at most its first _LONGEST characters.
+#: At most so many repeated sentences are known, the most frequent ones; one of more than _LONGEST characters as several.
 REPEATED, _LONGEST = 50_000, 2_000
 #: Log-likelihood ratio a gram from which a sentence may be residue as a whole. What a sentence that isn't suspect
 #: loses is nothing; what one that is, and stands in rulings often, loses is its weight as prose.
@@ -211,6 +211,12 @@ def suspects(c: np.ndarray, g: np.ndarray, at: np.ndarray, most: np.ndarray) ->
     return np.flatnonzero(out)
 
 
+def cut(sentence: str) -> list[str]:
+    """A sentence in parts of at most _LONGEST characters that have all its grams, each once."""
+    step = _LONGEST - (GRAM - 1)
+    return [sentence] if len(sentence) <= _LONGEST else [sentence[k : k + _LONGEST] for k in range(0, len(sentence) - (GRAM - 1), step)]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the grams (without text) and of the suspect sentences (without gram)."""
     most = fit(np.zeros(2 << BITS)).ratios.max(axis=0).astype(np.int64)
@@ -224,7 +230,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (x, h) in enumerate(((c, g), (s, grams(s)))):
                 total[i << BITS : (i + 1) << BITS] += np.bincount(h[x[: len(h)] != ord("\n")], minlength=1 << BITS)
             text, ends = c.tobytes().decode("utf-32-le", "surrogatepass"), np.append(at[1:], len(c))
-            often.update(_NUMBERS.sub(_NUMBER, text[at[i] : min(ends[i], at[i] + _LONGEST)]) for i in suspects(c, g, at, most))
+            often.update(part for i in suspects(c, g, at, most) for part in cut(_NUMBERS.sub(_NUMBER, text[at[i] : ends[i]])))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int32()), pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], names)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(total[at])], names)
