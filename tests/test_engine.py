@@ -87,6 +87,19 @@ def test_temp_ids_and_references(sut):
     assert V.row_text([V.value("Abbey Road")]) == '[Str("Abbey Road")]'
 
 
+def test_rows_as_text(sut):
+    """A column of texts is what row_text makes of the collected values, for every type and for values of any."""
+    r = sut.run(Op.on_temp_id("x").assert_("person/likes", 'a "b" \\ c').assert_("person/likes", "").assert_("person/born", -5).assert_("movie/year", 2**64 - 1).assert_("thing/price", Decimal("-0.5")).set_reference("movie/cast", "x"))
+    db = Database(sut.log)
+    any_value = Query().find("?a", "?v").where(r.temp_ids["x"], "?a", "?v")
+    want = sorted(V.row_text([V.ref(x[0]), V.value_of(tuple(x[1]))]) for x in db.query(any_value).collect())
+    assert sorted(t.row for t in db.texts(any_value).collect()) == want and len(want) == 6
+    typed = Query().find("?l", "?b").where("?p", "person/likes", "?l").where("?p", "person/born", "?b")
+    assert sorted(t.row for t in db.texts(typed).collect()) == ['[Str(""), I64(-5)]', '[Str("a \\"b\\" \\\\ c"), I64(-5)]']
+    with pytest.raises(QueryError):
+        db.texts(Query().find(Q.count()).where("?p", "person/likes", "?l"))
+
+
 def test_refusals(sut):
     with pytest.raises(X.InvalidAttributeType):
         sut.run(Op.on_new().assert_("person/name", 42))
@@ -424,5 +437,12 @@ def test_bulk_transactions_agree(spark):
             X.bulk_transact(b.log, bulk(spark, [row]), 1)
     with pytest.raises(X.DuplicateTempId):
         X.bulk_transact(b.log, bulk(spark, [dict(op_no=i, entity_kind="temp_id", temp_id="t", attr="person/name", vt=4, v_str="x") for i in (1, 2)]), 1)
+    for numbers in ((1, 2), (1, 1)):  # of two entities, and twice of one, as transact has it
+        with pytest.raises(X.DuplicateUniqueValue):
+            X.bulk_transact(b.log, bulk(spark, [dict(op_no=i, attr="person/email", vt=4, v_str="new@x") for i in numbers]), 1)
     with pytest.raises(X.DuplicateUniqueValue):
-        X.bulk_transact(b.log, bulk(spark, [dict(op_no=i, attr="person/email", vt=4, v_str="new@x") for i in (1, 2)]), 1)
+        a.run(Op.on_new().assert_("person/email", "new@x").assert_("person/email", "new@x"))
+    ops = bulk(spark, [row | dict(op_no=i) for i, (_, row) in enumerate(bad)])
+    got = X.violations(b.log, X.resolve_operations(b.log, ops))
+    assert sorted((r.rule, r.op_no, r.what) for r in got.collect()) == [("name", 0, "no/such"), ("temp id missing", 2, "none"), ("type", 1, "person/name"), ("unique in log", 3, "person/email")]
+    assert X.violations(b.log, X.resolve_operations(b.log, ops.limit(0))).count() == 0

@@ -243,8 +243,8 @@ def resolve_operations(log: DatomLog, operations: DataFrame) -> Resolved:
 def violations(log: DatomLog, resolved: Resolved) -> DataFrame:
     """(rule, op_no, what): each operation that breaks a rule of RULES, with the name or temp id that does.
 
-    An operation may break several; repeated operations are one. A value that is given twice for a unique
-    attribute refuses both operations.
+    An operation may break several. A value that is given twice for a unique attribute refuses both
+    operations, also if they are the same.
     """
     rows = resolved.rows
     out = []
@@ -258,9 +258,9 @@ def violations(log: DatomLog, resolved: Resolved) -> DataFrame:
     broken("temp id missing", rows.where(F.col("ref_temp_id").isNotNull() & F.col("v_ref").isNull()), "ref_temp_id")
     broken("type", rows.where(F.col("vt") != F.col("decl")))
     lanes = ["a", "vt", *LANES.values()]
-    unique = rows.where(F.col("uniq") & (F.col("op") == ASSERT)).select("op_no", "e", "attr", F.struct(*lanes).alias("fact")).distinct()
+    unique = rows.where(F.col("uniq") & (F.col("op") == ASSERT)).select("op_no", "e", "attr", F.struct(*lanes).alias("fact"))
     # one row for each value, so that no copy meets every other one
-    often = unique.groupBy("fact").agg(F.min("op_no").alias("x"), F.max("op_no").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y or n > 1").select("fact")
+    often = unique.groupBy("fact").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fact")
     broken("unique in transaction", unique.join(often, "fact", "left_semi"))
     of = [x.id for x in log.catalog().by_id.values() if x.unique]
     held = visible(log.frame(), None, F.col("a").isin(of), log.has_retracts(None), log.is_set()).groupBy(F.struct(*lanes).alias("fact")).agg(F.min("e").alias("lo"), F.max("e").alias("hi"))

@@ -164,7 +164,7 @@ _OPS = f"""typed AS (
   FROM typed
 ), latest AS (SELECT max(e) AS id FROM datoms),
 vis AS (SELECT * FROM {_visible()}),
-uniq AS (SELECT DISTINCT op_no, a, attr, vt, coalesce(txt, ref) AS txt, e, temp_id, entity_kind FROM ops WHERE is_unique AND op = 0),
+uniq AS (SELECT op_no, a, attr, vt, coalesce(txt, ref) AS txt, e, temp_id, entity_kind FROM ops WHERE is_unique AND op = 0),
 bad AS (
   SELECT DISTINCT 'name' AS rule, op_no, attr AS what FROM ops WHERE a IS NULL
   UNION SELECT 'temp id missing', op_no, ref FROM ops WHERE ref IS NOT NULL AND ref NOT IN (SELECT temp_id FROM ops WHERE temp_id IS NOT NULL)
