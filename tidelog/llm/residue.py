@@ -1,8 +1,8 @@
 """Template residue, filler and error pages in place of content, found by character n-gram models.
 
-Models of hashed character 5-grams are fitted: of natural prose from the whole corpus, in which a
-repeated sentence that may be residue counts once, so that an error page isn't learnt as prose however
-many rows hold it; and of residue (unfilled fields, filler, notices of a failing or script-demanding site)
+Models of hashed character 5-grams are fitted: of natural prose from the whole corpus, by the number of
+texts that hold a gram, in which a sentence that may be residue counts once, so that an error page isn't
+learnt as prose however many rows hold it; and of residue (unfilled fields, filler, notices of a failing or script-demanding site)
 from the rules in seeds.py, which hold no text of any corpus.
 The log-likelihood ratio of each residue model to prose is added up over windows; a window whose ratio
 exceeds a threshold is residue. Fields have a second model over the shape of the text, in which each
@@ -48,8 +48,6 @@ UNIT = 64
 LEAST, MOST = -4.0, {"field": 8.0, "filler": 5.0, "notice": 5.0}
 SHAPE_MOST = 8.0
 _CHUNK, _OVERLAP = 1_000_000, 256
-#: At most so many repeated sentences are known, the most frequent ones; one of more than _LONGEST characters as several.
-REPEATED, _LONGEST = 50_000, 2_000
 #: Log-likelihood ratio a gram from which a sentence may be residue as a whole. What a sentence that isn't suspect
 #: loses is nothing; what one that is, and stands in rulings often, loses is its weight as prose.
 SUSPECT = 2.5
@@ -168,9 +166,9 @@ def _pieces(texts: list[str], overlap: int) -> Iterator[tuple[list[int], list[st
 
 
 def both_counts(text: str) -> np.ndarray:
-    """Counts by hash of the grams of a plain text, and after them those of its shape."""
+    """Which grams a plain text has, by hash, and after them those of its shape; 1 for each, however often it has it."""
     c = codes(text)
-    return np.concatenate([np.bincount(grams(x), minlength=1 << BITS) for x in (c, shape(c)[0])])
+    return np.concatenate([np.minimum(np.bincount(grams(x), minlength=1 << BITS), 1) for x in (c, shape(c)[0])])
 
 
 def lined(text: str) -> str:
@@ -211,65 +209,74 @@ def suspects(c: np.ndarray, g: np.ndarray, at: np.ndarray, most: np.ndarray) ->
     return np.flatnonzero(out)
 
 
-def cut(sentence: str) -> list[str]:
-    """A sentence in parts of at most _LONGEST characters that have all its grams, each once."""
-    step = _LONGEST - (GRAM - 1)
-    return [sentence] if len(sentence) <= _LONGEST else [sentence[k : k + _LONGEST] for k in range(0, len(sentence) - (GRAM - 1), step)]
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams (without text) and of the suspect sentences (without gram)."""
+    """(gram, sentence): in how many texts each gram stands outside suspect sentences, as rows without sentence; the suspect sentences, as rows without gram."""
     most = fit(np.zeros(2 << BITS)).ratios.max(axis=0).astype(np.int64)
-    total = np.zeros(2 << BITS, np.int64)
+    total, seen = np.zeros(2 << BITS, np.int64), np.zeros(1 << BITS, bool)
     names = ["gram", "sentence", "n"]
     for b in slices(batches, 4_000_000):
-        often: Counter[str] = Counter()
+        doubtful: Counter[str] = Counter()
         for _, held in _pieces([lined(t) for t in b.column(1).to_pylist() if t], GRAM - 1):
             c, at = sentences(held)
-            g, s = grams(c), shape(c)[0]
-            for i, (x, h) in enumerate(((c, g), (s, grams(s)))):
-                total[i << BITS : (i + 1) << BITS] += np.bincount(h[x[: len(h)] != ord("\n")], minlength=1 << BITS)
+            g, (s, of) = grams(c), shape(c)
             text, ends = c.tobytes().decode("utf-32-le", "surrogatepass"), np.append(at[1:], len(c))
-            often.update(part for i in suspects(c, g, at, most) for part in cut(_NUMBERS.sub(_NUMBER, text[at[i] : ends[i]])))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int32()), pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], names)
+            found = suspects(c, g, at, most)
+            doubtful.update(_NUMBERS.sub(_NUMBER, text[at[i] : ends[i]]) for i in found)
+            edge = np.zeros(len(c) + 1, np.int8)
+            edge[at[found]] += 1
+            edge[ends[found]] -= 1
+            inside = np.cumsum(edge[:-1]) > 0
+            for i, (x, h, out) in enumerate(((c, g, inside), (s, grams(s), inside[of]))):
+                free = ~(out[: len(h)] | out[GRAM - 1 : GRAM - 1 + len(h)])
+                gap = x == ord("\n")  # lies behind each text
+                begins = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+                stops = np.flatnonzero(gap & np.append(False, ~gap[:-1]))
+                for low, high in zip(begins.tolist(), stops.tolist()):
+                    mine = h[low:high][free[low:high]]
+                    seen[mine] = True
+                    mine = np.flatnonzero(seen)
+                    seen[mine] = False
+                    total[(i << BITS) + mine] += 1
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(doubtful), pa.int32()), pa.array(doubtful.keys(), pa.string()), pa.array(doubtful.values(), pa.int64())], names)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(total[at])], names)
 
 
-def surplus(texts: list[str], n: np.ndarray) -> np.ndarray:
-    """What the sentences add to the counts beyond one each, where they come ``n`` times; grams at a number that may differ add nothing."""
-    c, length = codes(_GAP.join([*texts, ""])), [len(t) + len(_GAP) for t in texts]
-    weight = np.repeat(n - 1.0, length)
-    s, at = shape(np.where(c == ord(_NUMBER), np.uint32(ord("0")), c))
-    out = np.zeros(2 << BITS)
-    for i, (x, w) in enumerate(((c, weight), (s, weight[at]))):
-        g = grams(x)
-        bad = np.isin(x, [ord("\n"), ord(_NUMBER)])
-        w = np.where(np.logical_or.reduce([bad[k : k + len(g)] for k in range(GRAM)]), 0, w[: len(g)])
-        out[i << BITS : (i + 1) << BITS] = np.bincount(g, w, 1 << BITS)
-    return out
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of rows (gram, sentence, n): counts as they are, and the grams of each sentence once; those at a number that may differ are left out."""
+    total = np.zeros(2 << BITS, np.int64)
+    for b in batches:
+        known = b.filter(b.column(0).is_valid())
+        np.add.at(total, known.column(0).to_numpy(), known.column(2).to_numpy())
+        texts = b.column(1).drop_null().to_pylist()
+        for _, held in _pieces(texts, GRAM - 1):
+            c = codes(_GAP.join([*held, ""]))
+            s, at = shape(np.where(c == ord(_NUMBER), np.uint32(ord("0")), c))
+            for i, (x, number) in enumerate(((c, c == ord(_NUMBER)), (s, c[at] == ord(_NUMBER)))):
+                h = grams(x)
+                bad = number | (x == ord("\n"))
+                h = h[~np.logical_or.reduce([bad[k : k + len(h)] for k in range(GRAM)])] if len(h) else h
+                total[i << BITS : (i + 1) << BITS] += np.bincount(h, minlength=1 << BITS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
 
 def prose_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of the 5-grams of all texts and of their shapes by hash, where each repeated suspect sentence counts once: 2^(BITS+1) numbers, however large the corpus.
+    """In how many texts each 5-gram stands, by hash, and each of their shapes: 2^(BITS+1) numbers, however large the corpus.
 
-    Those are the sentences with more than 1/REPEATED of the repeated ones' number, so at most REPEATED
-    at any size; with fewer repeated sentences than that, all.
+    Texts count, not occurrences, so that one text full of the same words doesn't make them prose. A
+    suspect sentence counts once in all, whatever number of texts has it (numbers in it aside). Sentences
+    meet by shuffle, each task's once; none comes to the driver.
     """
     rows = spread(docs.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()))
-    counts = rows.mapInArrow(_count, "gram int, sentence string, n long").groupBy("gram", "sentence").agg(F.sum("n").alias("n")).persist()
-    try:
-        # one row per hash, seen or not: 2^(BITS+1) rows come to the driver at any size of the corpus
-        every = docs.sparkSession.range(2 << BITS).select(F.col("id").cast("int").alias("gram"))
-        got = every.join(counts.where(F.col("gram").isNotNull()), "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
-        many = counts.where(F.col("gram").isNull() & (F.col("n") > 1)).select("sentence", "n")
-        number = many.agg(F.sum("n")).first()[0] or 0
-        often = many.where(F.col("n") > number / REPEATED).toArrow()
-    finally:
-        counts.unpersist()
+    found = rows.mapInArrow(_count, "gram int, sentence string, n long").groupBy("gram", "sentence").agg(F.sum("n").alias("n"))
+    counts = found.mapInArrow(_once, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # one row per hash, seen or not: 2^(BITS+1) rows come to the driver at any size of the corpus
+    every = docs.sparkSession.range(2 << BITS).select(F.col("id").cast("int").alias("gram"))
+    got = every.join(counts, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
     out = np.zeros(2 << BITS, np.float64)
     out[got["gram"].to_numpy()] = got["n"].to_numpy()
-    return np.maximum(out - surplus(often["sentence"].to_pylist(), often["n"].to_numpy()), 0) if len(often) else out
+    return out
 
 
 @dataclass
@@ -408,8 +415,8 @@ def residue(docs: DataFrame, id: str = "doc_id", text: str = "text", least_cover
     kind is that of the strongest window, excess by how much it passes its threshold; ``strictness``
     multiplies the thresholds. Null, empty and
     blank texts have none; repeated rows are judged each; other columns are ignored. The corpus is read
-    twice and not shuffled but for the distinct suspect sentences and the 2^(BITS+1) counts of each task;
-    the model has that size at any scale.
+    twice and not shuffled but for each task's distinct suspect sentences and 2^(BITS+1) counts; the model
+    has that size at any scale.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(prose_counts(docs, text)))
     kind = docs.schema[id].dataType.simpleString()
