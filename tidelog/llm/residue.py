@@ -212,7 +212,7 @@ def suspects(c: np.ndarray, g: np.ndarray, at: np.ndarray, most: np.ndarray) ->
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, sentence): in how many texts each gram stands outside suspect sentences, as rows without sentence; the suspect sentences, as rows without gram."""
     most = fit(np.zeros(2 << BITS)).ratios.max(axis=0).astype(np.int64)
-    total, seen = np.zeros(2 << BITS, np.int64), np.zeros(1 << BITS, bool)
+    total, place, numbers = np.zeros(2 << BITS, np.int64), np.zeros(1 << BITS, np.int32), np.arange(_CHUNK + 64, dtype=np.int32)
     names = ["gram", "sentence", "n"]
     for b in slices(batches, 4_000_000):
         doubtful: Counter[str] = Counter()
@@ -233,10 +233,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stops = np.flatnonzero(gap & np.append(False, ~gap[:-1]))
                 for low, high in zip(begins.tolist(), stops.tolist()):
                     mine = h[low:high][free[low:high]]
-                    seen[mine] = True
-                    mine = np.flatnonzero(seen)
-                    seen[mine] = False
-                    total[(i << BITS) + mine] += 1
+                    order = numbers[: len(mine)]
+                    place[mine] = order  # one place of each gram stays
+                    total[(i << BITS) + mine[place[mine] == order]] += 1
         yield pa.RecordBatch.from_arrays([pa.nulls(len(doubtful), pa.int32()), pa.array(doubtful.keys(), pa.string()), pa.array(doubtful.values(), pa.int64())], names)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(total[at])], names)
