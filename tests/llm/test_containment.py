@@ -91,3 +91,16 @@ def test_documents_are_read_once_however_many_items(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
     assert {(d, i // 1000) for d, i in map(tuple, got.collect())} == brute(docs, items, 12)
+
+
+def test_a_passage_in_a_third_of_the_documents(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randint(0, 3000)}" for _ in range(n))
+    items = [(i, text(30)) for i in range(20)]
+    docs = [(d, text(60) + " " + (items[d % 2][1] if d % 3 == 0 else "") + " " + text(40)) for d in range(900)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = containment.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:3], "item_id long, text string"), filter_bits=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 300 and {tuple(x) for x in got} == {(d, d % 2) for d in range(0, 900, 3)}
