@@ -346,6 +346,34 @@ def test_an_attribute_with_most_rows_is_written_by_many_tasks(spark, tmp_path):
     assert max(sizes) < 20_000
 
 
+def test_many_attributes_share_a_folder(spark, tmp_path):
+    """Files of a part don't grow with the number of its attributes; each attribute, and none, is found as before."""
+    path = str(tmp_path / "log")
+    log = ParquetLog(spark, path)
+    log.save([V.datom(100, 60, V.value("early"), 8), V.datom(100, 1200, V.value("gone"), 8)])  # a part in which each has its folder
+    rows = [V.datom(100 + i, 60, V.i64(i), 9) for i in range(500)] + [V.datom(100 + a, 1000 + a, V.i64(a), 9) for a in range(300)]
+    none = [(e, None, *V.datom(e, 1, V.i64(e), 9)[2:]) for e in (7, 8)]
+    log.save(rows + none + rows[-5:])
+    log.save([V.datom(100, 1200, V.value("gone"), 10, 1), V.datom(399, 1299, V.i64(299), 10, 1)])
+    log.save(rows[:3] + rows[-3:])
+
+    def found(log):
+        return {a: sorted((r.e, r.tx) for r in log.find(a=a).collect()) for a in (60, 1000, 1200, 1298, 1299, 1300)}
+
+    want = {60: sorted([(100, 8), *((100 + i, 9) for i in range(500))]), 1000: [(100, 9)], 1200: [(300, 9)], 1298: [(398, 9)], 1299: [], 1300: []}
+    whole = sorted(map(str, log.frame().distinct().collect()))
+    assert found(log) == want and log.frame().where("a is null").count() == 2 and log.manifest["retracted"] == [1200, 1299]
+    assert [p["rows"] for p in log.manifest["parts"][1:]] == [2, 802, 2, 6]
+    log.compact()
+    for part in (log.manifest["parts"][0]["name"], next(n for n in log.folder.names() if n.startswith("part=000000002"))):
+        folders = [n for n in log.folder.names(part) if n.startswith("a=")]
+        assert len(folders) <= 65 and "a=60" in folders and sum(n.endswith(".parquet") for f in folders for n in log.folder.names(f"{part}/{f}")) <= 65 + 4
+    reader = ParquetLog(spark, path, read_only=True)
+    assert found(reader) == want and reader.is_set() and sorted(map(str, reader.frame().collect())) == whole and reader.latest_entity_id() == 599
+    plan = reader.find(a=1298)._jdf.queryExecution().toString()
+    assert "EqualTo(shared_a,1298)" in plan and "PartitionFilters: [isnull(a" in plan and "PartitionFilters: [isnotnull(a" in plan
+
+
 def test_manifests_by_difference_and_compaction_by_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tidelog.sources.log._PARTS_A_VERSION", 3)
     path = str(tmp_path / "log")

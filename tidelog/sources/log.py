@@ -7,14 +7,17 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidelog.functions.values import ASSERT, LANES, LOG_SCHEMA, RETRACT, Value, literal
 from tidelog.sources.files import Folder, Versions
 from tidelog.sources.schema import Catalog, bootstrap_rows
 
 _SCHEMA_ATTRIBUTES = (1, 2, 3, 4, 5)
-#: Parts that versions of a manifest name beside the last complete one; rows of a file at most.
-_PARTS_A_VERSION, _ROWS_A_FILE = 64, 5_000_000
+#: Parts that versions of a manifest name beside the last complete one; rows of a file at most; attributes with a folder of their own in a part at most.
+_PARTS_A_VERSION, _ROWS_A_FILE, _OWN_FOLDERS = 64, 5_000_000, 64
+#: The column of the attribute in files of the folder that the other attributes of a part share.
+_SHARED = "shared_a"
 
 
 def visible(log: DataFrame, basis: int | None, where: Column | None = None, retracts: bool = True, distinct: bool = False, kind: int | None = None) -> DataFrame:
@@ -155,12 +158,16 @@ class MemoryLog(DatomLog):
 class ParquetLog(DatomLog):
     """A log as Parquet files, partitioned by attribute and sorted by entity.
 
+    A folder and a file for each attribute would be as many as there are attributes, so in a part with
+    more than _OWN_FOLDERS of them only those with most rows have a folder. The others share the one of
+    the null partition, sorted by attribute, which is then a column of the files and prunes their pages.
+
     A save writes a new part and then publishes a new version of the manifest, so readers see all of it
     or nothing, and a second writer is refused (see sources.files for where that holds). A reader keeps
     the version that it opened until ``refresh``.
 
-    The manifest has the parts that count, each with its number of rows and range of tx, the id
-    high-water mark, the attributes with retracts, and how far each stream has been appended. A version
+    The manifest has the parts that count, each with its number of rows, its range of tx and whether
+    it has a shared folder, the id high-water mark, the attributes with retracts, and how far each stream has been appended. A version
     lists the parts that came since the last complete version only, so that a save writes little
     however many parts there are; a complete one comes every _PARTS_A_VERSION parts.
     """
@@ -198,14 +205,19 @@ class ParquetLog(DatomLog):
     def parts(self) -> list[str]:
         return [p["name"] for p in self.manifest["parts"]]
 
-    def _frame(self, parts: Sequence[str]) -> DataFrame:
+    def _frame(self, parts: Sequence[dict]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         # a is the parts' partition column, read in the log's type
-        return self.spark.read.schema(LOG_SCHEMA).option("basePath", self.path).parquet(*map(self.folder.at, parts)).select(*LOG_SCHEMA.names)
+        read = self.spark.read.option("basePath", self.path)
+        paths = [self.folder.at(p["name"]) for p in parts]
+        if not any(p.get("shared") for p in parts):
+            return read.schema(LOG_SCHEMA).parquet(*paths).select(*LOG_SCHEMA.names)
+        rows = read.schema(StructType([*LOG_SCHEMA, StructField(_SHARED, LongType())])).parquet(*paths)
+        return rows.where(F.col("a").isNotNull()).select(*LOG_SCHEMA.names).union(rows.where(F.col("a").isNull()).withColumn("a", F.col(_SHARED)).select(*LOG_SCHEMA.names))
 
     def frame(self) -> DataFrame:
-        return self._frame(self.parts())
+        return self._frame(self.manifest["parts"])
 
     def is_set(self) -> bool:
         """A part has no repeats, and two parts can share a row only if their ranges of tx overlap."""
@@ -224,29 +236,36 @@ class ParquetLog(DatomLog):
         marks = self.manifest["marks"] | ({mark[0]: mark[1]} if mark else {})
         self._publish(self._described(part, self.manifest["parts"]) | {"marks": marks})
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame) -> dict:
         """A new part with each row once.
 
-        Rows are spread by ranges of attribute, entity, tx and a hash of the value, so an attribute or an
-        entity that holds most of them is written by many tasks; removing repeats needs no other shuffle.
+        Rows are spread by ranges of folder, attribute, entity, tx and a hash of the value, so an attribute
+        or an entity that holds most of them is written by many tasks, and a task writes few files; removing
+        repeats needs no other shuffle. The hash is computed again after the shuffle and not moved.
         """
         part = f"part={self.version:09d}-{uuid.uuid4().hex[:8]}"
-        order = ["a", "e", "tx", "_h"]
-        rows = df.select(*LOG_SCHEMA.names, F.xxhash64("vt", *LANES.values()).alias("_h")).repartitionByRange(*order).distinct()
-        rows.sortWithinPartitions(*order).drop("_h").write.option("maxRecordsPerFile", _ROWS_A_FILE).partitionBy("a").parquet(self.folder.at(part))
-        return part
-
-    def _described(self, part: str, beside: list[dict]) -> dict:
+        most = [r.a for r in df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a").limit(_OWN_FOLDERS + 1).collect()]
+        shared = len(most) > _OWN_FOLDERS
+        rows, order = df.select(*LOG_SCHEMA.names), ["a", "e", "tx"]
+        if shared:
+            own = F.col("a").isin([a for a in most[:_OWN_FOLDERS] if a is not None])
+            rows, order = rows.withColumns({"a": F.when(own, F.col("a")), _SHARED: F.when(own, F.lit(None)).otherwise(F.col("a"))}), ["a", _SHARED, "e", "tx"]
+        h = F.xxhash64("vt", *LANES.values())
+        rows = rows.repartitionByRange(*order, h).withColumn("_h", h).distinct()
+        rows.sortWithinPartitions(*order, "_h").drop("_h").write.option("maxRecordsPerFile", _ROWS_A_FILE).partitionBy("a").parquet(self.folder.at(part))
+        return {"name": part, "shared": shared}
+
+    def _described(self, part: dict, beside: list[dict]) -> dict:
         """The manifest with a new part beside others; what it says of the part is read from it."""
         latest, retracted, parts = self.manifest["latest"], set(self.manifest["retracted"]), list(beside)
-        if any(n.startswith("a=") for n in self.folder.names(part)):
+        if any(n.startswith("a=") for n in self.folder.names(part["name"])):
             # one row per attribute
             tx = [F.min("tx").alias("lo"), F.max("tx").alias("hi"), F.count("tx").alias("with_tx"), F.count(F.lit(1)).alias("n")]
             got = self._frame([part]).groupBy("a").agg(F.max("e").alias("e"), F.max("op").alias("op"), *tx).collect()
             latest = max([latest, *(r.e for r in got if r.e is not None)])
             retracted |= {r.a for r in got if r.op == RETRACT}
             known = all(r.with_tx == r.n for r in got)
-            parts.append({"name": part, "rows": sum(r.n for r in got), "from_tx": min(r.lo for r in got) if known else None, "to_tx": max(r.hi for r in got) if known else None})
+            parts.append(part | {"rows": sum(r.n for r in got), "from_tx": min(r.lo for r in got) if known else None, "to_tx": max(r.hi for r in got) if known else None})
         return self.manifest | {"parts": parts, "latest": latest, "retracted": sorted(retracted)}
 
     def compact(self, most_rows: int | None = None) -> None:
@@ -255,7 +274,7 @@ class ParquetLog(DatomLog):
             raise PermissionError("the log was opened to be read")
         small = [p for p in self.manifest["parts"] if most_rows is None or p["rows"] <= most_rows]
         if len(small) > 1:
-            part = self._write(self._frame([p["name"] for p in small]))
+            part = self._write(self._frame(small))
             self._publish(self._described(part, [p for p in self.manifest["parts"] if p not in small]), whole=True)
 
     def latest_entity_id(self) -> int:
